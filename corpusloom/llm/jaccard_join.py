@@ -53,8 +53,8 @@ from .components import components
 from .session import cut, ship
 from .textkit import Words, mix, slices
 
-#: Text of one bucket's signatures at most, about; of a group of components that are checked together.
-BUCKET_BYTES = 256 << 20
+#: Text whose signatures are dealt to one set of buckets, about.
+BUCKET_BYTES = 128 << 20
 BROADCAST_ROWS = 2_000_000
 
 
@@ -204,7 +204,7 @@ def _signer(n: int, t: float, splits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids_all, texts = batch.column(0), batch.column(1)
-            for a, b in slices(texts, 16 << 20):
+            for a, b in slices(texts):
                 h, first = sets_of(texts[a:b], n)
                 ids = ids_all[a:b].to_numpy(zero_copy_only=False)
                 sizes = np.diff(first)
