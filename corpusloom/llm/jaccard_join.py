@@ -54,7 +54,7 @@ from .session import cut, ship
 from .textkit import Words, mix, slices
 
 #: Text whose signatures are dealt to one set of buckets, about.
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 256 << 20
 BROADCAST_ROWS = 2_000_000
 
 
@@ -448,5 +448,6 @@ def near_groups(docs: DataFrame, n: int = 3, threshold: float = 0.7) -> DataFram
 
 def one_of_each_group(docs: DataFrame, n: int = 3, threshold: float = 0.7) -> DataFrame:
     """The rows, all columns as they are, without the documents of which a similar one with a lesser id stays."""
-    gone = near_groups(docs, n, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = cut(near_groups(docs, n, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset, as in tests, one is made."""
@@ -29,8 +32,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once a session; they need no copy of the repository."""
+    """Give the executors' Python workers this package, once a session; they need no copy of the repository.
+
+    Arrow batches are kept to ``BATCH_ROWS`` texts, unless the session asks for
+    fewer: ten thousand long texts at a time would be held twice, by JVM and worker.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get(_ROWS)) > BATCH_ROWS or int(spark.conf.get(_ROWS)) <= 0:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_corpusloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -8,6 +8,7 @@ split can be written as the regular expression ``WORD`` in any engine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 
 WORD = r"[0-9a-z\u0080-\U0010ffff]+"
 #: Batches of texts are cut so that the arrays made for one stay small; a longer text is a batch of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,8 +74,21 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # not glibc
+    _TRIM = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that workers that wait don't hold what others need."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold at most ``limit`` bytes, or one row."""
+    """Ranges of rows that hold at most ``limit`` bytes, or one row; memory is trimmed after the last."""
     n = len(texts)
     if not n:
         return
@@ -85,6 +99,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield start, stop
         start = stop
+    trim()
 
 
 class Words:
