@@ -26,7 +26,7 @@ be similar.  What is left is joined to components, and within each component
 all pairs are compared exactly, by sorted 64-bit n-gram hashes.
 
 Signatures cross the shuffle as packed arrays, one row for each bucket and
-batch, at 7 bytes each.  The number of buckets follows the input's size.
+batch, at 6 bytes each.  The number of buckets follows the input's size.
 
 Defined cases: null or word-less texts have no n-grams, pair with nothing and
 are kept; a text of fewer than n words has one n-gram, of all of them; rows
@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .session import cut, ship
-from .textkit import Words, mix, slices
+from .textkit import Words, mix, slices, trim
 
 #: Text whose signatures are dealt to one set of buckets, about.
 BUCKET_BYTES = 256 << 20
@@ -177,10 +177,10 @@ def tags_of(sizes: np.ndarray, t: float) -> np.ndarray:
 
 
 def _pack(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sig: np.ndarray, owner: np.ndarray) -> bytes:
-    """One bucket's share of a batch; a signature keeps 40 bits, which the exact comparison makes good."""
+    """One bucket's share of a batch; a signature keeps 32 bits, which the exact comparison makes good."""
     wide = np.uint16 if len(ids) < 65536 else np.uint32
     head = np.array([len(ids), sketch.shape[1], len(sig), np.dtype(wide).itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, ids.astype(np.int64), sizes.astype(np.int32), sketch, sig.astype(np.uint32), (sig >> np.uint64(32)).astype(np.uint8), owner.astype(wide)))
+    return b"".join(x.tobytes() for x in (head, ids.astype(np.int64), sizes.astype(np.int32), sketch, sig.astype(np.uint32), owner.astype(wide)))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -192,12 +192,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     at += 4 * nd
     sketch = np.frombuffer(blob, np.uint8, nd * width, at).reshape(nd, width)
     at += nd * width
-    low = np.frombuffer(blob[at : at + 4 * ns], np.uint32)
+    sig = np.frombuffer(blob, np.uint32, ns, at)
     at += 4 * ns
-    high = np.frombuffer(blob, np.uint8, ns, at)
-    at += ns
-    owner = np.frombuffer(blob[at:], np.uint16 if wide == 2 else np.uint32)
-    return ids, sizes, sketch, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), owner.astype(np.int64)
+    return ids, sizes, sketch, sig, np.frombuffer(blob, np.uint16 if wide == 2 else np.uint32, ns, at)
 
 
 def _signer(n: int, t: float, splits: int):
@@ -224,7 +221,7 @@ def _signer(n: int, t: float, splits: int):
                                 if len(o):
                                     used, back = np.unique(o, return_inverse=True)
                                     keys.append(int(tag) * splits + s)
-                                    blobs.append(_pack(ids[some][used], size[used], sketch[used], sig[mine] & np.uint64((1 << 40) - 1), back))
+                                    blobs.append(_pack(ids[some][used], size[used], sketch[used], sig[mine] & np.uint64((1 << 32) - 1), back))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
@@ -274,6 +271,35 @@ def _near(sketch: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, h
     return out
 
 
+def _join_many(forest: Forest, sketch: np.ndarray, sizes: np.ndarray, members: np.ndarray, high: int, t: float) -> None:
+    """Join all pairs of ``members`` that may be similar and aren't joined yet.
+
+    One of each component is compared with all others first, which joins most of a
+    cluster of copies; then all that are outside the largest component are.
+    """
+
+    def meet(one: int) -> None:
+        others = members[forest.roots(members) != forest.root(one)]
+        ok = _near(sketch, sizes, np.full(len(others), one), others, high, t)
+        forest.join(np.full(int(ok.sum()), one), others[ok])
+
+    met: set[int] = set()
+    while True:
+        roots, first, count = np.unique(forest.roots(members), return_index=True, return_counts=True)
+        if len(roots) == 1:
+            return
+        todo = [(-c, int(members[f])) for r, f, c in zip(roots.tolist(), first.tolist(), count.tolist()) if int(members[f]) not in met]
+        if not todo:
+            break
+        one = min(todo)[1]
+        met.add(one)
+        meet(one)
+    largest = roots[count.argmax()]
+    for one in members[forest.roots(members) != largest].tolist():
+        if one not in met:
+            meet(one)
+
+
 def candidate_edges(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sig: np.ndarray, owner: np.ndarray, high: int, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join all sets of one bucket that share a signature and may be similar; a spanning forest of them."""
     # sets with the same sketch stand for one another: they meet in the exact comparison
@@ -282,16 +308,17 @@ def candidate_edges(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sig:
     forest = Forest(len(ids))
     forest.up = rep_at[same]  # the first of those with the same sketch
     same = same[owner]
-    combined = np.unique((sig << np.uint64(24)) | same.astype(np.uint64)) if len(rep_at) < (1 << 24) else None
-    if combined is not None:
-        s, who = combined >> np.uint64(24), rep_at[(combined & np.uint64((1 << 24) - 1)).astype(np.int64)]
-    else:
-        o = np.lexsort((same, sig))
-        keep = np.ones(len(o), bool)
-        keep[1:] = (sig[o][1:] != sig[o][:-1]) | (same[o][1:] != same[o][:-1])
-        s, who = sig[o][keep], rep_at[same[o][keep]]
+    line = np.sort((sig.astype(np.uint64) << np.uint64(32)) | same.astype(np.uint64))
+    del sig, owner, same
+    line = line[np.append(True, line[1:] != line[:-1])] if len(line) else line
+    s = (line >> np.uint64(32)).astype(np.uint32)
     start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(s)))
+    many = np.repeat(length > 1, length)  # signatures of one set alone are most of them
+    who = rep_at[(line[many] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    length = length[length > 1]
+    start = np.cumsum(length) - length
+    del line, s, many
     pairs = []
     for g in np.unique(length[(length > 1) & (length <= 24)]).tolist():
         block = who[start[length == g][:, None] + np.arange(g)]
@@ -303,27 +330,7 @@ def candidate_edges(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sig:
         ok = _near(sketch, sizes, i, j, high, t)
         forest.join(i[ok], j[ok])
     for at, g in zip(start[length > 24].tolist(), length[length > 24].tolist()):
-        members = who[at : at + g]
-        roots = forest.roots(members)
-        if (roots == roots[0]).all():
-            continue
-        # hubs first: one comparison with all others joins most of a cluster of copies
-        todo = np.ones(g, bool)
-        for h in range(g):
-            if not todo[h]:
-                continue
-            others = np.flatnonzero(forest.roots(members) != forest.root(int(members[h])))
-            ok = _near(sketch, sizes, np.full(len(others), members[h]), members[others], high, t)
-            forest.join(np.full(int(ok.sum()), members[h]), members[others[ok]])
-            todo[h] = False
-            todo[others[ok]] = False
-        roots = forest.roots(members)
-        # then every pair that is still apart
-        for h in range(g):
-            others = np.flatnonzero(forest.roots(members)[h + 1 :] != forest.root(int(members[h]))) + h + 1
-            if len(others):
-                ok = _near(sketch, sizes, np.full(len(others), members[h]), members[others], high, t)
-                forest.join(np.full(int(ok.sum()), members[h]), members[others[ok]])
+        _join_many(forest, sketch, sizes, who[at : at + g], high, t)
     root = forest.roots(np.arange(len(ids)))
     at = np.flatnonzero(root != np.arange(len(ids)))
     return ids[root[at]], ids[at]
@@ -335,10 +342,11 @@ def _matcher(t: float, splits: int):
         high = (bands(1, t)[tag] if tag < len(bands(1, t)) else _far(tag, t))[1]
         parts = [_unpack(x) for x in pdf["blob"]]
         shift = np.cumsum([0] + [len(p[0]) for p in parts])
-        a, b = candidate_edges(
-            np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
-            np.concatenate([p[3] for p in parts]), np.concatenate([p[4] + s for p, s in zip(parts, shift)]), high, t,
-        )
+        ids, sizes, sketch, sig = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        owner = np.concatenate([p[4].astype(np.uint32) + np.uint32(s) for p, s in zip(parts, shift)])
+        del parts, pdf
+        a, b = candidate_edges(ids, sizes, sketch, sig, owner, high, t)
+        trim()
         keep = a != b
         return pd.DataFrame({"a": a[keep], "b": b[keep]})
 
