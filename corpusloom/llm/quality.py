@@ -1,7 +1,7 @@
 """Quality filter by perplexity under an interpolated modified Kneser-Ney model.
 
 The model is of characters, ``ORDER`` at a time, one for each language, trained
-on all texts of a trusted set.  Counting and estimation are Spark joins and
+on the texts of a trusted set, in whole.  Counting and estimation are Spark joins and
 aggregations of n-gram keys, sharded by the key: counts of the highest order,
 numbers of different characters to the left (continuation counts) below it, three
 discounts for each language and order from the counts of counts, and from them
@@ -15,8 +15,10 @@ one 63-bit number: a language and five symbols of 11 bits.  Code points below
 The perplexity of a text sums the estimates over all its characters.  A model of
 up to ``MODEL_ROWS`` rows is broadcast as sorted arrays; a larger one is met by
 joins on the n-gram keys of each text (`score_by_join`), with the same results.
-A text is rejected if its perplexity is above the ``quantile`` of the trusted
-texts of its language, by ``slack``.
+A text is rejected if its perplexity is above the ``quantile`` of the held-out
+trusted texts of its language, by ``slack``; those, one in ``HELD_OUT``, are not
+trained on, as texts that were would look better than they are.  The perplexity of
+a few characters says little, so a text of n characters has ``short`` / n more room.
 
 Defined cases: null and empty texts, and texts of a language (or null) without
 trusted text, have perplexity and threshold null and are kept; a null doc_id is
@@ -44,6 +46,8 @@ ORDER, SYMBOL_BITS = 5, 11
 PLAIN = 1984
 MODEL_ROWS = 6_000_000
 BROADCAST_ROWS = 2_000_000
+#: Every so-manieth trusted id, by hash, isn't trained on but sets the threshold.
+HELD_OUT = 5
 FLUSH = 6_000_000
 _LANG_SHIFT = ORDER * SYMBOL_BITS
 RESULT = ["doc_id", "lang", "n_chars_scored", "perplexity", "threshold", "keep"]
@@ -283,7 +287,7 @@ def _trusted(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     return docs.join(side, docs["doc_id"] == F.col("__id"), "left_semi")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = 0.995, slack: float = 1.05, by_join: bool | None = None) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = 0.995, slack: float = 1.1, short: float = 10.0, by_join: bool | None = None) -> DataFrame:
     """(doc_id, lang, n_chars_scored, perplexity, threshold, keep) for every row of docs (doc_id, lang, text).
 
     ``trusted_ids``: rows with the doc_id of trusted texts.
@@ -295,14 +299,16 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = 0.995
     kind = d.schema["doc_id"].dataType.simpleString()
     if not langs:
         return d.selectExpr("doc_id", "lang", "0L as n_chars_scored", "cast(null as double) as perplexity", "cast(null as double) as threshold", "true as keep")
-    model = estimate(cut(count_ngrams(trusted, langs)))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    model = estimate(cut(count_ngrams(trusted.where(~held), langs)))
     if by_join is None:
         by_join = model.count() > MODEL_ROWS
     scored = cut((score_by_join if by_join else score_by_broadcast)(d, model, langs))
     limits = (
-        _trusted(scored, trusted_ids).where("perplexity is not null").groupBy(F.col("lang").alias("__lang"))
-        .agg((F.percentile_approx("perplexity", quantile, 100_000) * slack).alias("threshold"))
+        _trusted(scored.where(held), trusted_ids).where("perplexity is not null").groupBy(F.col("lang").alias("__lang"))
+        .agg(F.percentile_approx("perplexity", quantile, 100_000).alias("__limit"))
     )
     out = scored.join(F.broadcast(limits), scored["lang"] == F.col("__lang"), "left")
-    threshold = F.when(F.col("perplexity").isNotNull(), F.col("threshold"))
-    return out.select(F.col("doc_id").cast(kind), "lang", "n_chars_scored", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    room = slack + F.lit(float(short)) / F.greatest("n_chars_scored", F.lit(1))
+    out = out.withColumn("threshold", F.when(F.col("perplexity").isNotNull(), F.col("__limit") * room))
+    return out.select(F.col("doc_id").cast(kind), "lang", "n_chars_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

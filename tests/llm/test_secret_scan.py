@@ -1,0 +1,55 @@
+import math
+import random
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+from corpusloom.llm import secret_scan as S
+
+HEX = "f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65"
+B64 = "wJalrXUtnFEMI7K9MDENGbPxRfiCYzQ4hT2vLs8d"
+
+
+def slow_peak(s, w):
+    w = min(w, len(s))
+    best = 0.0
+    for i in range(len(s) - w + 1):
+        c = Counter(s[i : i + w])
+        best = max(best, -sum(n / w * math.log2(n / w) for n in c.values()))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_entropy_by_counts_equals_recounting(seed):
+    rng = random.Random(seed)
+    s = "".join(rng.choice("abcdef0123" if seed % 2 else "aab") for _ in range(rng.randint(1, 90)))
+    assert S.peak_entropy(s, 20) == pytest.approx(slow_peak(s, 20), abs=1e-9)
+
+
+def found(text):
+    return [(x[2], x[3]) for x in S.Scanner().scan(pa.array([text]))]
+
+
+def test_secrets_and_harmless_strings():
+    assert found(f'token = "{HEX}"') == [(HEX, "hex")]
+    assert found(f"key={B64};") == [(B64, "base64")]
+    for text in (f"commit {HEX}", f"sha1: {HEX}", "id 123e4567-e89b-42d3-a456-426614174000", "1234567890123456789012345", "abcdefghijklmnopqrstuvwxyz" * 3, "=" * 80, "aB3" * 30, f"https://x.org/{B64}", "thtionorenglyandherthingstion", ""):
+        assert found(text) == [], text
+    assert S.Scanner(allowed_strings=frozenset([HEX])).scan(pa.array([HEX])).__next__ and not list(S.Scanner(allowed_strings=frozenset([HEX])).scan(pa.array([HEX])))
+
+
+def test_candidates_end_with_their_text():
+    assert [(r, s) for r, _, s, *_ in S.Scanner().scan(pa.array([HEX, HEX[:10], HEX]))] == [(0, HEX), (2, HEX)]
+
+
+def test_table(spark, odd, none):
+    rows = [(1, f"é {HEX} x"), (2, None), (3, ""), (None, HEX), (1, f"é {HEX} x"), (4, "plain words"), (5, "ü " * 200_000 + HEX)]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t), "k") for i, t in rows], "doc_id long, text string, n_chars long, __redacted string")
+    got = S.find(docs).collect()
+    assert sorted((r.doc_id or 0, r.start, r.length) for r in got) == [(0, 0, 40), (1, 2, 40), (1, 2, 40), (5, 400_000, 40)]
+    clean = S.redact(docs)
+    assert clean.columns == docs.columns
+    by = {(r.doc_id, r.text, r.n_chars) for r in clean.collect() if r.doc_id != 5}
+    assert by == {(1, "é [SECRET] x", 12), (2, None, None), (3, "", 0), (None, "[SECRET]", 8), (4, "plain words", 11)}
+    assert S.find(none).collect() == [] and S.redact(odd).collect() == odd.collect()
