@@ -35,6 +35,8 @@ from .session import cut, ship
 from .textkit import mix
 
 LINKS, LINKS_0, BEAM_BUILD = 12, 24, 64
+#: Points that a scan compares in the time that a search takes for one place of its beam.
+SCAN = 256
 
 
 class Graph:
@@ -241,15 +243,17 @@ def partners(graph: Graph, q: np.ndarray, threshold: float, recall: float, audit
     while True:
         ids, sims = search(graph, q, beam)
         hit = sims >= close
-        found = sum(int(truth[k, ids[j][hit[j]]].sum()) for k, j in enumerate(sample.tolist()))
-        if beam >= n or found >= recall * int(truth.sum()):
+        # a beam full of partners is searched further below, so the audit is of the others
+        audited = [(k, j) for k, j in enumerate(sample.tolist()) if not hit[j].all()]
+        found = sum(int(truth[k, ids[j][hit[j]]].sum()) for k, j in audited)
+        if beam >= n or found >= recall * sum(int(truth[k].sum()) for k, _ in audited):
             break
         beam *= 2
     left, right = [np.nonzero(hit)[0]], [ids[hit]]
     full = np.flatnonzero(hit.all(1)) if beam < n else np.zeros(0, np.int64)
     while len(full):  # more partners than the beam holds
         beam *= 2
-        if beam >= n // 8:  # so many that a look at all points is cheaper
+        if beam * SCAN >= n:  # a look at all points is cheaper
             for a in range(0, len(full), 1024):
                 r, c = np.nonzero((q[full[a : a + 1024]] @ graph.vectors.T) >= close)
                 left.append(full[a : a + 1024][r]), right.append(c)
