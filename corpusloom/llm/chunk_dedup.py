@@ -35,7 +35,7 @@ from .session import ship
 from .textkit import _BYTE, _powers, buffers, mix, slices
 
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(777)) >> np.uint64(32)).astype(np.uint32)
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 WINDOW = 32
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _FORMAT = [("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4")]
