@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 
+def step(op: str, **args) -> dict:
+    """An operation with its arguments, as configurations have them."""
+    return {"op": op, "args": args}
+
+
 def _sub(pattern: str, repl: str) -> dict:
-    return {"op": "replace", "args": {"pattern": pattern, "repl": repl}}
+    return step("replace", pattern=pattern, repl=repl)
 
 
 def _cut(pattern: str) -> dict:
-    return {"op": "split", "args": {"pattern": pattern}}
+    return step("split", pattern=pattern)
 
 
-_BLANK = {"op": "tokenize", "args": {"name": "RegexpTokenizer", "kwargs": {"pattern": r"\s+", "gaps": True, "discard_empty": True}}}
-_STEM = {"op": "stem", "args": {"name": "SnowballStemmer", "kwargs": {"language": "english", "ignore_stopwords": True}}}
+_BLANK = step("tokenize", name="RegexpTokenizer", kwargs=dict(pattern=r"\s+", gaps=True, discard_empty=True))
+_STEM = step("stem", name="SnowballStemmer", kwargs=dict(language="english", ignore_stopwords=True))
 _NUMBER = r"[0-9]+(?:\.[0-9]*)?"
 _YEAR = r"\s+[0-9]{4}(?:'s\s|\s+)"
 _LOOSE_QUOTES = _sub(r"'*\s+'*", " ")
 _ANY_TWICE = _sub(r"(.)\1{2,}", r"\1\1")
 _LETTERS_TWICE = _sub(r"([A-Za-z])\1{2,}", r"\1\1")
+_SHORT = "[0-9]{1,2}"
 #: dollar, pound, yen, and the block of currency signs
 _MONEY = "$£¥₠-₾"
 
@@ -54,17 +60,17 @@ _SOCIAL = [
 ]
 _TWITTER = [
     "lower",
-    _sub(r"([A-Za-z]{2,}:(?:[0-9]{1,5})?/+)([0-9a-z]+\.)([0-9A-Za-z.]*)([\w~.!?,;:+*=#$%&'()/\[\]-]*)".replace(r"\w", "A-Za-z0-9_"), r" <\1> \2\3 "),
-    _sub(r"[0-9]{1,2}/[0-9]{1,2}(?:/(?:[0-9]{2}|(?:1|2)[0-9]{3}))?", " <date> "),
+    _sub(r"([A-Za-z]{2,}:(?:[0-9]{1,5})?/+)([0-9a-z]+\.)([0-9A-Za-z.]*)([\]\[/)('&%$#=*+:;,?!.~\w-]*)".replace(r"\w", "_0-9a-zA-Z"), r" <\1> \2\3 "),
+    _sub(rf"{_SHORT}/{_SHORT}(?:/(?:[0-9]{{2}}|(?:1|2)[0-9]{{3}}))?", " <date> "),
     _sub(_YEAR, " <year> "),
     _sub(_NUMBER, " <num> "),
     _sub(r"_num_\s*?%", " <percent> "),
     _sub(f"([{_MONEY}])", r" <\1> "),
     _ANY_TWICE,
-    {"op": "tokenize", "args": {"name": "TweetTokenizer", "kwargs": {"strip_handles": True}}},
-    _sub("[\"']*(.+)[\"']*", r"\1"),
+    step("tokenize", name="TweetTokenizer", kwargs=dict(strip_handles=True)),
+    _sub(r'''["']*(.+)["']*''', r"\1"),
 ]
-_WORLD_STOPS = {"op": "stopwords", "args": {"files": ["english.stop", "spanish.stop", "french.stop", "arabic.stop"], "words": ["_num_", "_percent_"]}}
+_WORLD_STOPS = step("stopwords", files=["english.stop", "spanish.stop", "french.stop", "arabic.stop"], words=["_num_", "_percent_"])
 _WORLD_BASIC = [_sub(r"[^\w]", " "), _sub("[0-9]", "#"), _cut(r"\s+")]
 _WORLD = ["lower", *_COUNTS, _sub(rf"([{_MONEY}])\s*_num_", r" _\1_ "), _LOOSE_QUOTES, _sub(rf"[^\w'{_MONEY}]+", " "), _cut(r"\s+"), _ANY_TWICE]
 
@@ -77,12 +83,12 @@ def _behind(*alternatives: str) -> str:
 _STOP = _behind("(?:[Pp]r(?:es|of)|[Cc]mdr)", "(?:[Rr]ev|[Mm]rs|[Hh]on|[Cc]ol|[SsGg]en)", "(?:[Ll][Tt]|[Dd][Rd])", "[Mm][SsRr]", "[A-Z]") + r"\.+\s*(?=[A-Z])"
 _SENTENCES = [
     _sub(r"^(\S)", r" \1"),
-    {"op": "strip", "args": {"chars": "?!. \t\n"}},
+    step("strip", chars="?!. \t\n"),
     _cut(_STOP),
     _cut(r"[!?]+\s*"),
     _cut(r"\.{2,}"),
     "strip",
-    {"op": "filter", "args": {"pattern": ".{0,3}", "match": "full"}},
+    step("filter", pattern=".{0,3}", match="full"),
 ]
 
 PIPELINES: dict[str, dict] = {
@@ -94,7 +100,7 @@ PIPELINES: dict[str, dict] = {
     "intermediate_unigrams_no_stopwords": {"sequence": _MIDDLE},
     "intermediate_unigrams+bigrams": {
         "sequence": _MIDDLE, "stopwords": "english",
-        "ngrams": {"n": [1, 2], "maxstopwords": 1, "maxstopwordproportion": 0.5, "join": True, "joinchar": "_", "end": "END"},
+        "ngrams": {"n": [1, 2], "max stopwords": 1, "proportion": 0.5, "join": True, "joinchar": "_", "end": "END"},
     },
     "20_newsgroups": {"sequence": _NEWS, "ngrams": {"n": [1], "max_stopwords": 0}, "stopwords": "english"},
     "no_punctuation_keep_stopwords": {"sequence": _NEWS, "ngrams": {"n": [1], "max_stopwords": 0}, "stopwords": "english"},

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import Corpus
 from ..plans import Pipeline, stop_list
+from ..plans.shipped import step
 
-PLAIN = {"sequence": ["lower", {"op": "replace", "args": {"pattern": "[^a-z]", "repl": " "}}, {"op": "split", "args": {"pattern": r"\s+"}}]}
+PLAIN = {"sequence": ["lower", step("replace", pattern="[^a-z]", repl=" "), step("split", pattern=r"\s+")]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,13 +8,14 @@ from ..functions.codec import compressed, decompressed
 from ..operators import ngrams as ng
 from ..plans import Pipeline, PipelineSpec, builtin, builtin_names
 from ..plans.spec import NgramSpec, Op
+from ..plans.shipped import step
 from ..sources import exports
 from . import query
 from .common import ENGLISH, PAIRS, PLAIN, corpus, ctes, quoted, table, tokens_sql
 
 
 def _sub(pattern, repl):
-    return {"op": "replace", "args": {"pattern": pattern, "repl": repl}}
+    return step("replace", pattern=pattern, repl=repl)
 
 
 def _joined(spec, sep="|", name="documents", key="doc_id"):
@@ -49,14 +50,14 @@ def _squeezed(x: str, letters: str) -> str:
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 query("pre_repeat_squeeze", f"select doc_id, array_to_string(list_filter(string_split_regex({_squeezed('''regexp_replace(lower(text), '[^a-z]', ' ', 'g')''', _LETTERS)}, '\\s+'), lambda x: x <> ''), ' ') as tokens from documents")(
-    _joined({"sequence": ["lower", _sub("[^a-z]", " "), _sub(r"([a-z])\1{2,}", r"\1\1"), {"op": "split", "args": {"pattern": r"\s+"}}]}, " ")
+    _joined({"sequence": ["lower", _sub("[^a-z]", " "), _sub(r"([a-z])\1{2,}", r"\1\1"), step("split", pattern=r"\s+")]}, " ")
 )
 query("pre_split_keep", "select doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(text), '([.!?])', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> ''), '|') as tokens from documents")(
-    _joined({"sequence": ["lower", {"op": "split", "args": {"pattern": "[.!?]", "keep": True}}]})
+    _joined({"sequence": ["lower", step("split", pattern="[.!?]", keep=True)]})
 )
-query("pre_strip", "select doc_id, trim(text, ' .,' || chr(10)) as tokens from documents")(_joined({"sequence": [{"op": "strip", "args": {"chars": " .,\n"}}]}))
+query("pre_strip", "select doc_id, trim(text, ' .,' || chr(10)) as tokens from documents")(_joined({"sequence": [step("strip", chars=" .,\n")]}))
 query("pre_filter_retain", f"select doc_id, array_to_string(list_filter({tokens_sql()}, lambda x: not regexp_full_match(x, '.{{1,2}}') and regexp_matches(x, 'i[no]')), '|') as tokens from documents")(
-    _joined({"sequence": [*PLAIN["sequence"], {"op": "filter", "args": {"pattern": ".{1,2}"}}, {"op": "keep", "args": {"pattern": "i[no]", "match": "partial"}}]})
+    _joined({"sequence": [*PLAIN["sequence"], step("filter", pattern=".{1,2}"), step("keep", pattern="i[no]", match="partial")]})
 )
 query("pre_stopwords", f"select doc_id, array_to_string(list_filter({tokens_sql()}, lambda x: x not in ({quoted(ENGLISH)})), '|') as tokens from documents")(
     _joined({"sequence": [*PLAIN["sequence"], "stopwords"], "stopwords": "english"})
@@ -65,7 +66,7 @@ query("pre_stopwords", f"select doc_id, array_to_string(list_filter({tokens_sql(
 
 @query("pre_tokenize_gaps", r"select conv_id, turn, role, array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), '|') as tokens from conversations")
 def pre_tokenize_gaps(spark, sf):
-    p = Pipeline({"sequence": ["lower", {"op": "tokenize", "args": {"name": "RegexpTokenizer", "kwargs": {"pattern": r"\s+", "gaps": True, "discard_empty": True}}}]})
+    p = Pipeline({"sequence": ["lower", step("tokenize", name="RegexpTokenizer", kwargs=dict(pattern=r"\s+", gaps=True, discard_empty=True))]})
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.array_join(p.tokens(F.col("text")), "|").alias("tokens"))
 
 
@@ -128,7 +129,7 @@ def pre_compose_sum(spark, sf):
 
 @query("pre_stem")
 def pre_stem(spark, sf):
-    spec = {"sequence": [*PLAIN["sequence"], {"op": "stem", "args": {"name": "SnowballStemmer", "kwargs": {"language": "english"}}}]}
+    spec = {"sequence": [*PLAIN["sequence"], step("stem", name="SnowballStemmer", kwargs=dict(language="english"))]}
     toks = Pipeline(spec).tokens(F.col("text"))
     return table(spark, sf, "documents").select(F.explode(toks).alias("stem")).groupBy("stem").agg(F.count("*").alias("cnt"))
 
@@ -138,7 +139,7 @@ _TAG, _NOT_TEXT = "<[^>]*>", "[^a-z]"
 
 @query("html_strip_tokens", f"select page_id, token, count(*) as cnt from (select page_id, unnest(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(html), '{_TAG}', ' ', 'g'), '{_NOT_TEXT}', ' ', 'g'), '\\s+'), lambda x: x <> '')) as token from pages) group by all")
 def html_strip_tokens(spark, sf):
-    p = Pipeline({"sequence": ["lower", _sub(_TAG, " "), _sub(_NOT_TEXT, " "), {"op": "split", "args": {"pattern": r"\s+"}}]})
+    p = Pipeline({"sequence": ["lower", _sub(_TAG, " "), _sub(_NOT_TEXT, " "), step("split", pattern=r"\s+")]})
     return table(spark, sf, "pages").select("page_id", F.explode(p.tokens(F.col("html"))).alias("token")).groupBy("page_id", "token").agg(F.count("*").alias("cnt"))
 
 

@@ -8,8 +8,9 @@ from corpusloom.operators import ngrams as ng
 from corpusloom.operators.corpus import Corpus
 from corpusloom.plans import Pipeline
 from corpusloom.plans.spec import NgramSpec
+from corpusloom.plans.shipped import step
 
-WORDS = {"sequence": [{"op": "split", "args": {"pattern": r"\s+"}}]}
+WORDS = {"sequence": [step("split", pattern=r"\s+")]}
 
 
 @pytest.fixture(scope="module")

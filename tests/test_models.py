@@ -9,8 +9,9 @@ from corpusloom.operators import timeseries as ts
 from corpusloom.sources import documents, exports, tables
 from corpusloom.streaming import incremental
 from corpusloom.plans import Pipeline
+from corpusloom.plans.shipped import step
 
-WORDS = Pipeline({"sequence": [{"op": "split", "args": {"pattern": r"\s+"}}]})
+WORDS = Pipeline({"sequence": [step("split", pattern=r"\s+")]})
 
 
 def test_precision_recall(spark):

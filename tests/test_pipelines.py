@@ -7,6 +7,7 @@ from corpusloom.functions.stem import stem
 from corpusloom.plans import Pipeline, PipelineSpec, builtin, builtin_names, stop_list
 from corpusloom.plans import regexlate, spec
 from corpusloom.plans.spec import Op
+from corpusloom.plans.shipped import step
 
 
 def tokens(spark, p, *texts):
@@ -84,34 +85,34 @@ def test_tweets(spark):
 
 
 def test_split_keeps_separators_and_groups(spark):
-    assert tokens(spark, {"sequence": [{"op": "split", "args": {"pattern": "[,;]", "keep": True}}]}, "a,b;c")[0] == ["a", ",", "b", ";", "c"]
-    assert tokens(spark, {"sequence": [{"op": "split", "args": {"pattern": "-(x)-"}}]}, "a-x-b")[0] == ["a", "x", "b"]
-    assert tokens(spark, {"sequence": [{"op": "split", "args": {"pattern": r"\s+"}}]}, " a  b ")[0] == ["a", "b"]
+    assert tokens(spark, {"sequence": [step("split", pattern="[,;]", keep=True)]}, "a,b;c")[0] == ["a", ",", "b", ";", "c"]
+    assert tokens(spark, {"sequence": [step("split", pattern="-(x)-")]}, "a-x-b")[0] == ["a", "x", "b"]
+    assert tokens(spark, {"sequence": [step("split", pattern=r"\s+")]}, " a  b ")[0] == ["a", "b"]
 
 
 def test_case_and_filters(spark):
-    words = {"op": "split", "args": {"pattern": " "}}
-    assert tokens(spark, {"sequence": [words, {"op": "upper", "args": {"pattern": "a.*"}}]}, "ab ba")[0] == ["AB", "ba"]
-    assert tokens(spark, {"sequence": [words, {"op": "upper", "args": {"pattern": "a.*", "exclude": True}}]}, "ab ba")[0] == ["ab", "BA"]
-    assert tokens(spark, {"sequence": [words, {"op": "filter", "args": {"pattern": "a", "match": "partial"}}]}, "ab c")[0] == ["c"]
-    assert tokens(spark, {"sequence": [words, {"op": "keep", "args": {"pattern": "a"}}]}, "ab a a\n")[0] == ["a"]
+    words = step("split", pattern=" ")
+    assert tokens(spark, {"sequence": [words, step("upper", pattern="a.*")]}, "ab ba")[0] == ["AB", "ba"]
+    assert tokens(spark, {"sequence": [words, step("upper", pattern="a.*", exclude=True)]}, "ab ba")[0] == ["ab", "BA"]
+    assert tokens(spark, {"sequence": [words, step("filter", pattern="a", match="partial")]}, "ab c")[0] == ["c"]
+    assert tokens(spark, {"sequence": [words, step("keep", pattern="a")]}, "ab a a\n")[0] == ["a"]
     assert tokens(spark, {"sequence": ["lower"]}, None)[0] is None
 
 
 def test_names_have_synonyms(spark):
     a = {"operations": [{"function": "sub", "parameters": {"regex": "a", "replacement": "b"}}], "N-grams": {"Max Stopwords": 1}}
-    b = {"sequence": [{"op": "replace", "args": {"pattern": "a", "repl": "b"}}], "ngrams": {"max_stopwords": 1}}
+    b = {"sequence": [step("replace", pattern="a", repl="b")], "ngrams": {"max_stopwords": 1}}
     assert PipelineSpec.read(a) == PipelineSpec.read(b)
-    for bad in ({"sequence": ["fly"]}, {}, {"sequence": ["replace"]}, {"sequence": [{"op": "lower", "args": {"what": 1}}]}, {"sequence": ["lower"], "ops": ["lower"]}):
+    for bad in ({"sequence": ["fly"]}, {}, {"sequence": ["replace"]}, {"sequence": [step("lower", what=1)]}, {"sequence": ["lower"], "ops": ["lower"]}):
         with pytest.raises(ValueError):
             PipelineSpec.read(bad)
 
 
 def test_composition(spark):
     s = PipelineSpec.read({"sequence": ["lower"]})
-    assert tokens(spark, Pipeline(s + PipelineSpec.read({"sequence": [{"op": "split", "args": {"pattern": " "}}]})), "A B")[0] == ["a", "b"]
+    assert tokens(spark, Pipeline(s + PipelineSpec.read({"sequence": [step("split", pattern=" ")]})), "A B")[0] == ["a", "b"]
     assert tokens(spark, Pipeline(s.prepend(F.reverse).append(Op("upper"))), "ab")[0] == ["BA"]
-    x = Pipeline({"sequence": ["lower", {"op": "split", "args": {"pattern": " "}}]}).debug(spark.createDataFrame([("A B",)], "text string")).first()
+    x = Pipeline({"sequence": ["lower", step("split", pattern=" ")]}).debug(spark.createDataFrame([("A B",)], "text string")).first()
     assert x.stage_0 == ["a b"] and x.stage_1 == ["a", "b"]
 
 
