@@ -2,11 +2,14 @@
 
 Vectors are dealt by hash to shards of about ``shard_rows``; each shard builds a
 graph of its own.  Every vector then queries every shard, block by block of
-queries.  In each block a sample of queries is audited against brute force over
-the shard, and while fewer than ``recall`` of the true partners are found, the
-beam is doubled and the block searched again; a beam that covers the shard is
-exact.  A query whose beam is full of partners has its own beam doubled until it
-isn't, so the number of partners has no cap.  What is found is verified by cosine
+queries.  In each block a sample of queries is compared with the whole shard by
+brute force, and extended until ``audit`` of them have a partner besides
+themselves.  While the search finds fewer than ``recall`` of these partners, over
+all pairs or as the mean of the queries, the beam is doubled.  Where partners are
+too rare for that, or a wide beam would cost more than a look at all points, the
+block is compared by brute force, which is exact.  A query whose beam is full of
+partners has its own beam doubled until it isn't, so the number of partners has no
+cap; the audit is of what comes out after that.  What is found is verified by cosine
 in double precision, and the pairs are united to components.
 
 Graphs are built and searched for many points in step with one another: points
@@ -234,36 +237,63 @@ def search(graph: Graph, q: np.ndarray, beam: int, step: int = 512) -> tuple[np.
     return np.concatenate(ids), np.concatenate(sims)
 
 
-def partners(graph: Graph, q: np.ndarray, threshold: float, recall: float, audit: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs of at least ``threshold``; see the module for the audit and the beams."""
+def scan(graph: Graph, q: np.ndarray, close: np.float32, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, point) pairs of at least ``close``, by brute force."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(q), step):
+        r, c = np.nonzero((q[a : a + step] @ graph.vectors.T) >= close)
+        rows.append(a + r), cols.append(c)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def searched(graph: Graph, q: np.ndarray, close: np.float32, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (query, point) pairs of at least ``close`` that the graph finds; beams full of partners are doubled."""
     n = len(graph.vectors)
-    close = np.float32(threshold - 1e-6)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
-    truth = (q[sample] @ graph.vectors.T) >= close
-    while True:
-        ids, sims = search(graph, q, beam)
+    rows, cols, full = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(q))
+    while len(full):
+        ids, sims = search(graph, q[full], beam)
         hit = sims >= close
-        # a beam full of partners is searched further below, so the audit is of the others
-        audited = [(k, j) for k, j in enumerate(sample.tolist()) if not hit[j].all()]
-        found = sum(int(truth[k, ids[j][hit[j]]].sum()) for k, j in audited)
-        if beam >= n or found >= recall * sum(int(truth[k].sum()) for k, _ in audited):
-            break
-        beam *= 2
-    left, right = [np.nonzero(hit)[0]], [ids[hit]]
-    full = np.flatnonzero(hit.all(1)) if beam < n else np.zeros(0, np.int64)
-    while len(full):  # more partners than the beam holds
+        r, c = np.nonzero(hit)
+        rows.append(full[r]), cols.append(ids[r, c])
+        full = full[hit.all(1)] if beam < n else full[:0]
         beam *= 2
         if beam * SCAN >= n:  # a look at all points is cheaper
-            for a in range(0, len(full), 1024):
-                r, c = np.nonzero((q[full[a : a + 1024]] @ graph.vectors.T) >= close)
-                left.append(full[a : a + 1024][r]), right.append(c)
+            r, c = scan(graph, q[full], close)
+            rows.append(full[r]), cols.append(c)
             break
-        ids, sims = search(graph, q[full], beam)
-        hit = sims >= close
-        r, c = np.nonzero(hit)
-        left.append(full[r]), right.append(ids[r, c])
-        full = full[hit.all(1)]
-    pair = np.unique(np.concatenate(left) * n + np.concatenate(right))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def partners(graph: Graph, q: np.ndarray, threshold: float, recall: float, audit: int, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs of at least ``threshold``; see the module for the audit and the beams. ``own``: ids of the queries."""
+    n = len(graph.vectors)
+    close = np.float32(threshold - 1e-6)
+    order = np.random.default_rng(0).permutation(len(q))
+    exact, judged, at, have = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    while at < len(q) and have < audit:
+        part = order[at : at + max(audit, at)]
+        r, c = scan(graph, q[part], close)
+        exact.append(part[r] * n + c)
+        # a query finds itself in any graph, so that says nothing
+        other = np.ones(len(r), bool) if own is None else own[part[r]] != graph.ids[c]
+        judged.append(exact[-1][other])
+        have += len(np.unique(r[other]))
+        at += len(part)
+    sample, rest, truth = order[:at], order[at:], np.concatenate(judged)
+    query = np.unique(truth // n, return_inverse=True)[1]
+    while len(rest):
+        if len(rest) * n <= len(q) * beam * SCAN or beam >= n:
+            r, c = scan(graph, q[rest], close)
+            break
+        r, c = searched(graph, q[sample], close, beam)
+        hit = np.isin(truth, sample[r] * n + c)
+        if min(hit.mean(), (np.bincount(query, hit) / np.bincount(query)).mean()) >= recall:
+            r, c = searched(graph, q[rest], close, beam)
+            break
+        beam *= 2
+    if len(rest):
+        exact.append(rest[r] * n + c)
+    pair = np.unique(np.concatenate(exact))
     return pair // n, pair % n
 
 
@@ -300,7 +330,7 @@ def near_pairs(vectors: DataFrame, *, threshold: float = 0.95, recall: float = 0
         graph = Graph.load(right["blob"].iloc[0])
         left = left.sort_values("id", kind="stable")
         ids, exact = left["id"].to_numpy(np.int64), unit(left["v"])
-        i, j = partners(graph, exact.astype(np.float32), threshold, recall, audit, beam)
+        i, j = partners(graph, exact.astype(np.float32), threshold, recall, audit, beam, ids)
         a, b = ids[i], graph.ids[j]
         keep = a != b
         i, j, a, b = i[keep], j[keep], a[keep], b[keep]

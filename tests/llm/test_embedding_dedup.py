@@ -69,3 +69,17 @@ def test_small_graphs(n):
     g = H.build(v, np.arange(n))
     ids, sims = H.search(g, v, 4)
     assert np.allclose(sims[:, 0], 1, atol=1e-5)
+
+
+@pytest.mark.parametrize("first, last, audit", [(1, 18, 64), (0, 400, 64)])
+def test_the_audit_is_of_partners_besides_oneself(monkeypatch, first, last, audit):
+    """No link leads to the partners, so a search misses them all though each query finds itself."""
+    monkeypatch.setattr(H, "SCAN", 1)
+    v, k = cloud(1200 + last - first, 16, 6), last - first
+    v[1200:] = v[first:last] + 0.001
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    g = H.build(v, np.arange(len(v)))
+    g.layers = [np.where(g.ids[x] >= 1200, -1, x).astype(np.int32) for x in g.layers]
+    i, j = H.partners(g, v[:1200], 0.99, 0.98, audit, 32, np.arange(1200))
+    got = set(zip(i.tolist(), g.ids[j].tolist()))
+    assert sum((first + x, 1200 + x) in got for x in range(k)) >= 0.98 * k
