@@ -111,7 +111,7 @@ def lda_topics(spark, sf):
 
     small = reduce_ids(v).select("term_id", "token")
     p = c.postings.join(small, "token").select("doc_id", "term_id", "cnt")
-    return TopicModel(5, rounds=5).fit(p, small).topic_words(10)
+    return TopicModel(5).fit(p, small).topic_words(10)
 
 
 def _scores(spark, sf):

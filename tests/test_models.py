@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import classify, cluster, evaluate
 from corpusloom.operators import timeseries as ts
+from corpusloom.operators.topics import TopicModel
 from corpusloom.sources import documents, exports, tables
 from corpusloom.streaming import incremental
 from corpusloom.plans import Pipeline
@@ -60,6 +61,14 @@ def test_spherical_kmeans(spark, how):
     assert fit.objective > (55 if how == "plusplus" else 30) and np.allclose(np.linalg.norm(fit.centroids, axis=1), 1)
 
 
+def test_topics_rest_on_all_documents(spark):
+    """Each document has a word of its own, which comes to the topics only if the document is read."""
+    postings = spark.createDataFrame([(d, t, n) for d in range(100) for t, n in ((d, 50), (100 + d % 2, 20))], "doc_id long, term_id long, cnt long")
+    vocabulary = spark.createDataFrame([(t, f"w{t}") for t in range(102)], "term_id long, token string")
+    weights = TopicModel(2).fit(postings, vocabulary).model.topicsMatrix().toArray().sum(1)
+    assert weights[:100].min() > 5  # of 50 counted; only the random first topics are left of an unread word, about 1
+
+
 def test_time_buckets(spark):
     t = spark.createDataFrame([(dt.datetime(2024, 1, 6, 13),)], "t timestamp_ntz")
     got = lambda f: t.select(f(F.col("t"))).first()[0]
