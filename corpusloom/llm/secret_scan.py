@@ -30,7 +30,9 @@ from pyspark.sql.functions import arrow_udf
 from .session import ship
 from .textkit import buffers, slices
 
-MIN_RUN = 20
+MIN_RUN = 16
+#: Runs shorter than this need less entropy, in the proportion of what their length allows.
+FULL_RUN = 20
 
 
 @dataclass(frozen=True)
@@ -50,14 +52,16 @@ CLASSES = (
     CharClass("base64", _LETTERS + "0123456789+/", 24, 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
     CharClass("base64url", _LETTERS + "0123456789-_", 24, 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
     CharClass("base36", "abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.8, ("[0-9].*[a-z].*[0-9].*[a-z].*[0-9]",)),
+    CharClass("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 3.2, ("[0-9]", "[A-Z]")),
 )
-#: Patterns over the 24 characters before a finding, a NUL, and the finding.
+#: Patterns over the 24 characters before a finding, a NUL, and the finding; a NUL and @ if it is the userinfo of a URL.
 ALLOWED = (
     r"(?i)(sha(1|256|512)?|md5|commit|checksum|digest|etag|revision)\W{0,4}\x00",
     r"(?i)data:[a-z/+.-]+;base64,\x00",
     r"\x00[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)\x00.*(example|placeholder|dummy|changeme)",
-    r"(?i)https?://\S{0,24}\x00",
+    # paths of URLs, but no userinfo, query value, fragment or webhook
+    r"(?i)https?://(?!\S*(\x00@|hooks?\.|webhook|/services/))[^\s\x00:@?#=&]*(:\d{1,5}/[^\s\x00:@?#=&]*\x00|:\x00\d{1,5}/|\x00)",
 )
 _TABLE = np.zeros(256, bool)
 _TABLE[list((_LETTERS + "0123456789+/-_").encode())] = True
@@ -93,18 +97,19 @@ class Scanner:
         self.has = [[re.compile(p) for p in c.has] for c in classes]
         self.allowed = [re.compile(p) for p in allowed]
 
-    def judge(self, candidate: str, before: str) -> Iterator[tuple[int, int, str, float]]:
+    def judge(self, candidate: str, before: str, after: str = "") -> Iterator[tuple[int, int, str, float]]:
         """(start, length, class, entropy) of the findings in a candidate; the first class that fires at a place has it."""
         taken: list[tuple[int, int]] = []
+        tail = "\x00@" if after == "@" and "://" in before else ""
         for c, run, has in zip(self.classes, self.run, self.has):
             for m in run.finditer(candidate):
                 s, (a, b) = m.group(), m.span()
                 if any(a < y and x < b for x, y in taken) or not all(p.search(s) for p in has):
                     continue
                 bits = peak_entropy(s, c.window)
-                if bits >= c.bits:
+                if bits >= (c.bits if len(s) >= FULL_RUN else c.bits * min(1.0, log2(len(s)) / log2(c.window))):
                     taken.append((a, b))
-                    if s in self.strings or any(p.search(f"{(before + candidate[:a])[-24:]}\x00{s}") for p in self.allowed) or any(p.search(f"{before[-24:]}\x00{candidate}") for p in self.allowed):
+                    if s in self.strings or any(p.search(f"{(before + candidate[:a])[-24:]}\x00{s}{tail}") for p in self.allowed) or any(p.search(f"{before[-24:]}\x00{candidate}{tail}") for p in self.allowed):
                         continue
                     yield a, b - a, c.name, bits
 
@@ -124,7 +129,8 @@ class Scanner:
                 if y - x >= MIN_RUN:
                     before = raw[max(int(offsets[r]), x - 24) : x].tobytes().decode("utf-8", "ignore")
                     s = raw[x:y].tobytes().decode()
-                    for at, n, name, bits in sorted(self.judge(s, before)):
+                    after = raw[y : min(y + 1, int(offsets[r + 1]))].tobytes().decode("utf-8", "ignore")
+                    for at, n, name, bits in sorted(self.judge(s, before, after)):
                         yield r, x - int(offsets[r]) + at, s[at : at + n], name, bits
 
 
