@@ -2,18 +2,25 @@
 
 Every word gets a label by forward-backward over the whole text, so that
 code-switched text is split where its language changes.  Features of a word:
-its affixes (of one to four bytes of UTF-8), all its byte bigrams and trigrams,
-and whether the lexicon of each language has it.  Transitions are learned.
+its prefixes and suffixes of one, two, three and four bytes of UTF-8, all its byte
+bigrams and trigrams, and whether the lexicon of each language has it.  Transitions
+are learned.  All languages that have labelled text are told apart, however many.
 
 The chain is evaluated in blocks of ``BLOCK`` words: block transfer matrices
 first, then the blocks of a text in order, then inside all blocks at once.
 That is the exact forward-backward, at a cost in proportion to the words, with
 a text of a million words as cheap a word as a text of ten.
 
+A text is rejected if no language has enough of its words or the posteriors are
+low, if too few of its words' features were seen in training, as in a script or
+language that the model doesn't know, or if too little of it is words at all.
+
 Defined cases: a null, empty or word-less text has lang null, confidence 0, no
 spans, and is rejected; a null or repeated id, and repeated rows, are judged row
-by row; an empty table gives an empty result; other columns are never read.
-Training without any labelled text raises ValueError.
+by row; an empty table gives an empty result; other columns are never read; repeated
+labelled texts are trained on once.  Without any labelled text with words there is no
+model: every text has lang null and no spans, and those with words are accepted,
+as nothing speaks against them.
 """
 
 from __future__ import annotations
@@ -31,44 +38,43 @@ from .textkit import Words, mix, slices
 
 BLOCK = 32
 TRI, AFFIX = 1 << 17, 1 << 16
-RESULT = "lang string, share double, confidence double, n_words long, accepted boolean, spans array<struct<start:int,n:int,lang:string>>"
+RESULT = "lang string, share double, confidence double, coverage double, n_words long, accepted boolean, spans array<struct<start:int,n:int,lang:string>>"
 
 
 @dataclass
 class Model:
-    """Weights of the features, the transitions, and the lexicon as word hashes with a bit for each language."""
+    """Weights of the features and which were seen in training, the transitions, and the lexicon as word hashes with a row of which languages have the word."""
 
     langs: list[str]
     weights: np.ndarray
+    seen: np.ndarray
     lexicon: np.ndarray
-    lex_bits: np.ndarray
+    lex_rows: np.ndarray
     lex_weights: np.ndarray
     transitions: np.ndarray
 
-    def emissions(self, words: Words, pick: np.ndarray) -> np.ndarray:
-        """Scores of the words at ``pick``, by label."""
+    def emissions(self, words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the words at ``pick``, by label; the share of the features of each that were seen in training."""
         feats, counts = features(words, pick)
         n = len(self.langs)
         out = np.zeros((len(pick), n), np.float32)
         if not len(pick):
-            return out
+            return out, np.zeros(0, np.float32)
         starts = np.cumsum(counts) - counts
         for k in range(n):
             out[:, k] = np.add.reduceat(self.weights[k][feats], starts)
-        return out + lexical(self, words.hash[pick]) @ self.lex_weights
+        known = np.add.reduceat(self.seen[feats], starts) / counts
+        return out + lexical(self, words.hash[pick]) @ self.lex_weights, known
 
 
 def lexical(model: Model, hashes: np.ndarray) -> np.ndarray:
     """Which lexicons have each word; a word that none has is a feature too."""
     n = len(model.langs)
     out = np.zeros((len(hashes), n + 1), np.float32)
-    bits = np.zeros(len(hashes), np.int64)
     if len(model.lexicon):
         at = np.minimum(np.searchsorted(model.lexicon, hashes), len(model.lexicon) - 1)
-        bits = np.where(model.lexicon[at] == hashes, model.lex_bits[at], 0)
-    for k in range(n):
-        out[:, k] = (bits >> k) & 1
-    out[:, n] = bits == 0
+        out[:, :n] = model.lex_rows[at] & (model.lexicon[at] == hashes)[:, None]
+    out[:, n] = ~out[:, :n].any(1)
     return out
 
 
@@ -83,8 +89,8 @@ def features(words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     two = text[:-1] * 256 + text[1:]
     three = two[:-1] * 256 + text[2:]
     tri = (mix(three.astype(np.uint64)) % np.uint64(TRI)).astype(np.int64) + 65536
-    # for each byte a bigram and a trigram that start there; then the four affixes
-    per = 2 * width - 2 + 4
+    # for each byte a bigram and a trigram that start there; then the affixes
+    per = 2 * width - 2 + 8
     at = np.cumsum(per) - per
     out = np.zeros(int(per.sum()), np.int64)
     pos = np.arange(int((width - 1).sum())) - np.repeat(np.cumsum(width - 1) - (width - 1), width - 1)
@@ -92,15 +98,14 @@ def features(words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[where] = two[byte]
     out[where + 1] = np.where(byte + 2 < np.repeat(begin + width, width - 1), tri[byte], two[byte])
     base = 65536 + TRI
-    for k, n in enumerate((1, 4)):
-        take = np.minimum(lens, n)
-        head = np.zeros(len(pick), np.uint64)
-        tail = np.zeros(len(pick), np.uint64)
-        for j in range(n):
-            head = np.where(j < take, head * np.uint64(257) + text[begin + 1 + np.minimum(j, lens - 1)].astype(np.uint64) + np.uint64(1), head)
-            tail = np.where(j < take, tail * np.uint64(257) + text[begin + 1 + np.maximum(lens - 1 - j, 0)].astype(np.uint64) + np.uint64(1), tail)
+    head = np.zeros(len(pick), np.uint64)
+    tail = np.zeros(len(pick), np.uint64)
+    for j in range(4):
+        # of a shorter word the affix is the whole word again, and as such another feature
+        head = np.where(j < lens, head * np.uint64(257) + text[begin + 1 + np.minimum(j, lens - 1)].astype(np.uint64) + np.uint64(1), head)
+        tail = np.where(j < lens, tail * np.uint64(257) + text[begin + 1 + np.maximum(lens - 1 - j, 0)].astype(np.uint64) + np.uint64(1), tail)
         for i, h in enumerate((head, tail)):
-            out[at + per - 4 + 2 * k + i] = base + (mix(h * np.uint64(4) + np.uint64(2 * k + i)) % np.uint64(AFFIX)).astype(np.int64)
+            out[at + per - 8 + 2 * j + i] = base + (mix(h * np.uint64(8) + np.uint64(2 * j + i)) % np.uint64(AFFIX)).astype(np.int64)
     return out, per
 
 
@@ -167,30 +172,40 @@ def marginals(emit: np.ndarray, transitions: np.ndarray, counts: np.ndarray) ->
     return out
 
 
-def label(texts: pa.Array, model: Model, min_share: float, min_confidence: float, keep: list[str] | None) -> pa.Array:
+def label(texts: pa.Array, model: Model, **limits) -> pa.Array:
     """One struct of RESULT for each text."""
-    parts = [_label(texts[a:b], model, min_share, min_confidence, keep) for a, b in slices(texts)]
-    kind = pa.struct([("lang", pa.string()), ("share", pa.float64()), ("confidence", pa.float64()), ("n_words", pa.int64()), ("accepted", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("lang", pa.string())])))])
+    parts = [(_label if model.langs else _unlabelled)(texts[a:b], model, **limits) for a, b in slices(texts)]
+    kind = pa.struct([("lang", pa.string()), ("share", pa.float64()), ("confidence", pa.float64()), ("coverage", pa.float64()), ("n_words", pa.int64()), ("accepted", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("lang", pa.string())])))])
     return pa.concat_arrays(parts).cast(kind) if parts else pa.array([], kind)
 
 
-def _label(texts: pa.Array, model: Model, min_share: float, min_confidence: float, keep: list[str] | None) -> pa.Array:
+def _unlabelled(texts: pa.Array, model: Model, **limits) -> pa.Array:
+    """What can be said without a model."""
+    n = np.diff(Words(texts, hashed=False).first)
+    zero, spans = pa.array(np.zeros(len(n))), pa.array([[]] * len(n), pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("lang", pa.string())])))
+    return pa.StructArray.from_arrays([pa.nulls(len(n), pa.string()), zero, zero, zero, pa.array(n.astype(np.int64)), pa.array(n > 0), spans], names=["lang", "share", "confidence", "coverage", "n_words", "accepted", "spans"])
+
+
+def _label(texts: pa.Array, model: Model, min_share: float, min_confidence: float, min_coverage: float, min_text: float, keep: list[str] | None) -> pa.Array:
     words, n = Words(texts), len(model.langs)
     rows = len(words.first) - 1
     _, pick, code = np.unique(words.hash, return_index=True, return_inverse=True)
-    scores = model.emissions(words, pick)
+    scores, known = model.emissions(words, pick)
     emit = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30)) if len(pick) else scores
     counts = np.diff(words.first)
     post = marginals(emit[code], model.transitions, counts)
     best = post.argmax(1) if len(post) else np.zeros(0, np.int64)
     votes = np.bincount(words.row * n + best, minlength=rows * n).reshape(rows, n)
-    sure = np.bincount(words.row, post.max(1) if len(post) else None, minlength=rows)
     some = np.maximum(counts, 1)
+    mean = lambda x: np.bincount(words.row, x if len(x) else None, minlength=rows) / some
     lang = votes.argmax(1)
-    share, confidence = votes.max(1) / some, sure / some
+    share, confidence, coverage = votes.max(1) / some, mean(post.max(1) if len(post) else post), mean(known[code])
+    ink = np.append(0, np.cumsum(words.raw > 32))
+    ink = np.maximum(ink[words.offsets[1:]] - ink[words.offsets[:-1]], 1)
+    text = np.bincount(words.row, words.end - words.start, minlength=rows) / ink
     names = np.array(model.langs, object)
     allowed = np.ones(n, bool) if keep is None else np.isin(names, keep)
-    accepted = (counts > 0) & (share >= min_share) & (confidence >= min_confidence) & allowed[lang]
+    accepted = (counts > 0) & (share >= min_share) & (confidence >= min_confidence) & (coverage >= min_coverage) & (text >= min_text) & allowed[lang]
     turn = np.ones(len(best), bool)
     turn[1:] = (best[1:] != best[:-1]) | (words.row[1:] != words.row[:-1])
     at = np.flatnonzero(turn)
@@ -205,8 +220,8 @@ def _label(texts: pa.Array, model: Model, min_share: float, min_confidence: floa
         ),
     )
     return pa.StructArray.from_arrays(
-        [labels.take(pa.array(lang, mask=counts == 0)), pa.array(share), pa.array(confidence), pa.array(counts.astype(np.int64)), pa.array(accepted), spans],
-        names=["lang", "share", "confidence", "n_words", "accepted", "spans"],
+        [labels.take(pa.array(lang, mask=counts == 0)), pa.array(share), pa.array(confidence), pa.array(coverage), pa.array(counts.astype(np.int64)), pa.array(accepted), spans],
+        names=["lang", "share", "confidence", "coverage", "n_words", "accepted", "spans"],
     )
 
 
@@ -215,21 +230,25 @@ def train(labelled: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.2
 
     ``labelled``: (text, language) pairs.  Their words are cut into runs of 3 to
     40 and runs of different texts joined, so that switches are seen in training.
+    Without a word in them the model has no languages.
     """
     pairs = [(t, k) for t, k in labelled if t and k is not None]
-    langs = sorted({k for _, k in pairs})
-    if not langs:
-        raise ValueError("no labelled text to train on")
+    words = Words(pa.array([t for t, _ in pairs], pa.string()))
+    worded = np.diff(words.first) > 0
+    langs = sorted({k for (_, k), w in zip(pairs, worded) if w})
     n, rng = len(langs), np.random.default_rng(seed)
-    words = Words(pa.array([t for t, _ in pairs]))
+    if not langs:
+        return Model([], *[np.zeros(0)] * 6)
+    pairs = [x if w else (x[0], langs[0]) for x, w in zip(pairs, worded)]  # no word of these counts
     truth = np.array([langs.index(k) for _, k in pairs])[words.row]
     uniq, pick, code = np.unique(words.hash, return_index=True, return_inverse=True)
     seen = np.zeros((len(uniq), n), np.int64)
     np.add.at(seen, (code, truth), 1)
     in_lex = (seen >= 3) & (seen >= 0.1 * seen.sum(1, keepdims=True))
     keep = in_lex.any(1)
-    model = Model(langs, np.zeros((n, N_FEATURES), np.float32), uniq[keep], (in_lex[keep] << np.arange(n)).sum(1), np.zeros((n + 1, n), np.float32), np.zeros((n, n), np.float32))
+    model = Model(langs, np.zeros((n, N_FEATURES), np.float32), np.zeros(N_FEATURES, np.float32), uniq[keep], in_lex[keep], np.zeros((n + 1, n), np.float32), np.zeros((n, n), np.float32))
     feats, per = features(words, pick)
+    model.seen[feats] = 1
     starts = np.cumsum(per) - per
     lex = lexical(model, uniq)
     squares, lex_sq, tr_sq = np.full_like(model.weights, 1e-6), np.full_like(model.lex_weights, 1e-6), np.full_like(model.transitions, 1e-6)
@@ -298,35 +317,51 @@ def _pairs(emit: np.ndarray, a: np.ndarray, counts: np.ndarray, inner: np.ndarra
     return (xi / xi.sum((1, 2), keepdims=True)).sum(0)
 
 
-def training_sample(docs: DataFrame, per_language: int, max_chars: int, max_languages: int = 64) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts, of at most ``max_chars`` characters, of each language in the column lang."""
-    d = docs.select(F.col("text").alias("t"), F.col("lang").alias("k")).where("k is not null")
-    langs = sorted(r.k for r in d.groupBy("k").count().orderBy(F.desc("count"), "k").limit(max_languages).collect())
-    fits = d.where((F.length("t") <= max_chars) & (F.length("t") > 0))
-    return [(r.t, r.k) for k in langs for r in fits.where(F.col("k") == k).limit(per_language).collect()]
+def training_sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
+    """About ``per_language`` different labelled texts of each language in the column lang, whole.
 
-
-def fit(docs: DataFrame, per_language: int = 150, max_chars: int = 20_000) -> Model:
-    """The model for a table with columns text and lang: a fit on a bounded sample, ``per_language`` rows of each language."""
-    return train(training_sample(docs, per_language, max_chars))
-
-
-def judge(text: Column, model: Model, *, min_share: float = 0.4, min_confidence: float = 0.4, keep: list[str] | None = None, field: str | None = None) -> Column:
+    They are those of the least hashes, so that the sample is the same however
+    the rows are dealt to tasks: a share of each language by its number of
+    different texts, half as many again as are wanted, of which the least are taken.
+    """
+    d = docs.select(F.col("text").alias("t"), F.col("lang").alias("k")).where("k is not null and t is not null and t <> ''").withColumn("h", F.xxhash64("t"))
+    found = {r.k: r.n for r in d.groupBy("k").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not found:
+        return []
+    top = {k: min(1.0, (1.5 * per_language + 20) / max(1, n)) for k, n in found.items()}
+    limit = F.create_map(*[x for k, share in top.items() for x in (F.lit(k), F.lit(float(share)))])
+    u = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    some = d.where(u < limit[F.col("k")]).groupBy("k", "h").agg(F.first("t").alias("t")).collect()
+    out: dict[str, list] = {}
+    for r in sorted(some, key=lambda r: (r.k, r.h & ((1 << 64) - 1))):
+        if len(out.setdefault(r.k, [])) < per_language:
+            out[r.k].append((r.t, r.k))
+    return [x for v in out.values() for x in v]
+
+
+def fit(docs: DataFrame, per_language: int = 150) -> Model:
+    """The model for a table with columns text and lang: a fit on a bounded sample, ``per_language`` texts of each language."""
+    return train(training_sample(docs, per_language))
+
+
+def judge(text: Column, model: Model, *, min_share: float = 0.4, min_confidence: float = 0.5, min_coverage: float = 0.5, min_text: float = 0.75, keep: list[str] | None = None, field: str | None = None) -> Column:
     """A struct of RESULT for a text column, or only its ``field``.
 
-    A text is accepted if its most frequent label has ``min_share`` of the
-    words, the words' mean posterior is ``min_confidence``, and ``keep`` (None:
-    any) has the language.
+    A text is accepted if its most frequent label has ``min_share`` of the words,
+    the words' mean posterior is ``min_confidence``, ``min_coverage`` of their
+    features were seen in training, words are ``min_text`` of its non-blank
+    bytes, and ``keep`` (None: any) has the language.
     """
+    limits = {"min_share": min_share, "min_confidence": min_confidence, "min_coverage": min_coverage, "min_text": min_text, "keep": keep}
     if field == "accepted":
         # only the verdict crosses back to the JVM
-        return arrow_udf(lambda t: label(t, model, min_share, min_confidence, keep).field("accepted"), "boolean")(text)
-    out = arrow_udf(lambda t: label(t, model, min_share, min_confidence, keep), RESULT)(text)
+        return arrow_udf(lambda t: label(t, model, **limits).field("accepted"), "boolean")(text)
+    out = arrow_udf(lambda t: label(t, model, **limits), RESULT)(text)
     return out[field] if field else out
 
 
 def identify(docs: DataFrame, model: Model, **options) -> DataFrame:
-    """(doc_id, lang, share, confidence, n_words, accepted, spans) for every row: the word labels as runs."""
+    """(doc_id, lang, share, confidence, coverage, n_words, accepted, spans) for every row: the word labels as runs."""
     ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("t"))
     return d.select("doc_id", judge(F.col("t"), model, **options).alias("r")).select("doc_id", "r.*")
