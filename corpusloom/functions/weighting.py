@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,20 +31,23 @@ def tfidf(postings: DataFrame, df: DataFrame, n: DataFrame, *, sublinear: bool =
     w = weighted(postings, df, n, sublinear=sublinear, offset=offset)
     if not normalize:
         return w
-    return w.join(norms(w), "doc_id").select("doc_id", "token", F.coalesce(F.try_divide("w", "norm"), F.lit(0.0)).alias("w"))
+    return unit_rows(w)
+
+
+def unit_rows(w: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, token, w) with rows of length 1, or zero; a sum over each row's entries, without a second look at the input."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(by)))
+    return w.select(by, "token", F.coalesce(F.try_divide(F.col("w"), norm), F.lit(0.0)).alias("w"))
 
 
 def rank(queries: DataFrame, postings: DataFrame, df: DataFrame, n: DataFrame, *, sublinear: bool = True) -> DataFrame:
     """(query_id, doc_id, score): weighted cosine of query bags (query_id, token, cnt) with the documents that share a term. Others have 0."""
     w = weighted(postings, df, n, sublinear=sublinear)
-    q = weighted(queries, df, n, sublinear=sublinear, by="query_id")
+    q = unit_rows(weighted(queries, df, n, sublinear=sublinear, by="query_id"), "query_id")
     dot = w.join(q.select("query_id", "token", F.col("w").alias("qw")), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    qn = norms(q, "query_id").withColumnRenamed("norm", "qnorm")
-    return dot.join(norms(w), "doc_id").join(qn, "query_id").select("query_id", "doc_id", F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)).alias("score"))
+    return dot.join(norms(w), "doc_id").select("query_id", "doc_id", F.coalesce(F.try_divide(F.col("dot"), F.col("norm")), F.lit(0.0)).alias("score"))
 
 
 def top_per_query(scores: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

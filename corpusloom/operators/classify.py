@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions import weighting
 from . import lm
 
@@ -20,24 +21,24 @@ def plane_weight(token: Column, plane: int, seed: int = 0) -> Column:
 class NearestNeighbours:
     """k nearest neighbours by cosine of sublinear tf-idf, in the query's hash bucket.
 
-    ``train``: postings (doc_id, token, cnt); ``labels``: (doc_id, cls).  With
+    ``train``: postings (doc_id, token, cnt); ``labels``: (doc_id, cls), None for a
+    search that classifies nothing.  With
     ``planes`` = L the buckets are the L sign bits of random projections; 0 puts
     all in one bucket, and the search is exact.
     """
 
-    def __init__(self, train: DataFrame, labels: DataFrame, k: int = 5, planes: int = 0, min_features: int = 1, seed: int = 0):
+    def __init__(self, train: DataFrame, labels: DataFrame | None, k: int = 5, planes: int = 0, min_features: int = 1, seed: int = 0):
         self.k, self.planes, self.seed = k, planes, seed
-        t = train.join(labels.select("doc_id"), "doc_id", "left_semi")
+        t = train if labels is None else written(train.join(labels.select("doc_id"), "doc_id", "left_semi"), "train")
         if min_features > 1:
             t = t.join(t.groupBy("doc_id").agg(F.count("*").alias("f")).where(F.col("f") >= min_features), "doc_id", "left_semi")
-        self.labels = labels.select(F.col("doc_id").alias("neighbour"), "cls")
+        self.labels = None if labels is None else labels.select(F.col("doc_id").alias("neighbour"), "cls")
         self.df = t.groupBy("token").agg(F.count("*").alias("df"))
         self.n = t.select("doc_id").distinct().agg(F.count("*").alias("n"))
-        self.train = self._vectors(t)
+        self.train = written(self._vectors(t), "vectors")
 
     def _vectors(self, postings: DataFrame) -> DataFrame:
-        w = weighting.weighted(postings, self.df, self.n, sublinear=True)
-        return w.join(weighting.norms(w), "doc_id").select("doc_id", "token", (F.col("w") / F.col("norm")).alias("w"))
+        return weighting.unit_rows(weighting.weighted(postings, self.df, self.n, sublinear=True))
 
     def buckets(self, vectors: DataFrame) -> DataFrame:
         """(doc_id, bucket)"""
@@ -49,12 +50,14 @@ class NearestNeighbours:
         return dots.select("doc_id", reduce(lambda a, b: a + b, bits).cast("long").alias("bucket"))
 
     def query(self, postings: DataFrame) -> DataFrame:
-        """(query_id, neighbour, score, rank): the k nearest training documents in the bucket, ties by id."""
-        q = self._vectors(postings)
-        qb, tb = self.buckets(q), self.buckets(self.train)
-        left = q.join(qb, "doc_id").select(F.col("doc_id").alias("query_id"), "bucket", "token", F.col("w").alias("qw"))
-        right = self.train.join(tb, "doc_id").select(F.col("doc_id").alias("neighbour"), "bucket", "token", "w")
-        s = left.join(right, ["bucket", "token"]).groupBy("query_id", "neighbour").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+        """(query_id, neighbour, score, rank): the k nearest training documents in the bucket but the query itself, ties by id."""
+        q, t, on = self._vectors(postings), self.train, ["token"]
+        if self.planes:
+            q, on = written(q, "queries"), ["bucket", "token"]
+            q, t = q.join(self.buckets(q), "doc_id"), t.join(self.buckets(t), "doc_id")
+        left = q.select(F.col("doc_id").alias("query_id"), *on, F.col("w").alias("qw"))
+        right = t.select(F.col("doc_id").alias("neighbour"), *on, "w")
+        s = left.join(right, on).where("query_id <> neighbour").groupBy("query_id", "neighbour").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
         w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "neighbour")
         return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
 
@@ -71,7 +74,7 @@ class NearestNeighbours:
 def train_bayes(token_lists: DataFrame, labels: DataFrame, n: int = 2) -> tuple[DataFrame, DataFrame]:
     """(counts by class, priors): all n-grams up to n of each class, and (cls, log_prior)."""
     t = token_lists.join(labels.select("doc_id", "cls"), "doc_id")
-    counts = lm.all_ngrams(t, n, by=["cls"])
+    counts = lm.train(t, n, by=["cls"])
     size = t.groupBy("cls").agg(F.count("*").alias("c"))
     total = t.agg(F.count("*").alias("t"))
     return counts, size.crossJoin(F.broadcast(total)).select("cls", F.log(F.col("c") / F.col("t")).alias("log_prior"))

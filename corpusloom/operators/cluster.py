@@ -67,7 +67,7 @@ def start(vectors: DataFrame, k: int, how: str, seed: int, v: str = "v", key: st
     return cents
 
 
-def fit(vectors: DataFrame, k: int, *, how: str = "samples", restarts: int = 1, max_rounds: int = 20, eps: float = 0.001, seed: int = 0, v: str = "embedding", key: str = "vec_id") -> Fit:
+def fit(vectors: DataFrame, k: int, *, how: str = "samples", restarts: int = 5, max_rounds: int = 100, eps: float = 0.001, seed: int = 0, v: str = "embedding", key: str = "vec_id") -> Fit:
     """The best of some restarts. A run ends once less than ``eps`` of the points change cluster, or after ``max_rounds``."""
     points = cut(vectors.where(F.col(v).isNotNull()).select(key, unit(F.col(v)).alias("v")))
     n, best = points.count(), None

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, spread, written
 from ..functions import weighting
 from ..plans.pipeline import Pipeline
 
@@ -16,12 +16,13 @@ class Corpus:
     """Documents under a pipeline.
 
     ``docs`` has unique ids; ``order`` (the id by default) is the order in which
-    words are first seen.  Tables are plans, computed when used; nothing is
-    collected but single numbers.
+    words are first seen.  The token lists and the postings are tokenised once, when
+    something first needs them twice, and written to the shared folder; the other
+    tables are plans, computed when used.  Nothing is collected but single numbers.
     """
 
     def __init__(self, docs: DataFrame, pipeline: Pipeline, *, doc_id: str = "doc_id", text: str = "text", order: str | None = None, ngrams: bool = False):
-        self.docs, self.pipeline, self.doc_id, self.text = docs, pipeline, doc_id, text
+        self.docs, self.pipeline, self.doc_id, self.text = spread(docs), pipeline, doc_id, text
         self.order, self.with_ngrams = order or doc_id, ngrams
 
     @cached_property
@@ -32,6 +33,16 @@ class Corpus:
             toks = self.pipeline.ngrams(toks)
         return self.docs.select(F.col(self.doc_id).alias("doc_id"), F.col(self.order).alias("seq"), toks.alias("tokens"))
 
+    @cached_property
+    def kept_lists(self) -> DataFrame:
+        """The token lists, written."""
+        return written(self.token_lists, "tokens")
+
+    @cached_property
+    def kept_postings(self) -> DataFrame:
+        """The postings, written."""
+        return written(self.postings, "postings")
+
     @cached_property
     def tokens(self) -> DataFrame:
         """(doc_id, seq, pos, token)"""
@@ -45,7 +56,8 @@ class Corpus:
     @cached_property
     def term_stats(self) -> DataFrame:
         """(token, ttf, df)"""
-        return self.postings.groupBy("token").agg(F.sum("cnt").alias("ttf"), F.count("*").alias("df"))
+        p = self.__dict__.get("kept_postings", self.postings)
+        return p.groupBy("token").agg(F.sum("cnt").alias("ttf"), F.count("*").alias("df"))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -55,21 +67,23 @@ class Corpus:
     @cached_property
     def vocabulary(self) -> DataFrame:
         """(term_id, token, ttf, df): ids dense from 0 in order of first appearance."""
-        first = self.tokens.groupBy("token").agg(F.min(F.struct("seq", "pos")).alias("first"))
-        return dense_ids(first.join(self.term_stats, "token"), [F.col("first.seq"), F.col("first.pos")])
+        # one pass: the first place and the count of each token in each document, then of each token
+        t = self.tokens.groupBy("doc_id", "token").agg(F.min(F.struct("seq", "pos")).alias("first"), F.count("*").alias("cnt"))
+        terms = t.groupBy("token").agg(F.min("first").alias("first"), F.sum("cnt").alias("ttf"), F.count("*").alias("df"))
+        return dense_ids(terms.select("token", "first", "ttf", "df"), [F.col("first.seq"), F.col("first.pos")])
 
     def encoded(self) -> DataFrame:
         """(doc_id, pos, term_id)"""
-        return self.tokens.join(self.vocabulary.select("token", "term_id"), "token").select("doc_id", "pos", "term_id")
+        return encode(self.tokens, self.vocabulary)
 
     def tfidf(self, sublinear: bool = False, normalize: bool = True) -> DataFrame:
-        return weighting.tfidf(self.postings, self.term_stats.select("token", "df"), self.docs.select(F.count("*").alias("n")), sublinear=sublinear, normalize=normalize)
+        return weighting.tfidf(self.kept_postings, self.term_stats.select("token", "df"), self.docs.select(F.count("*").alias("n")), sublinear=sublinear, normalize=normalize)
 
     def query(self, text: str, n: int) -> DataFrame:
         """The n documents nearest to a text: (doc_id, score), by score and then id. The text goes through the pipeline."""
         one = self.docs.sparkSession.createDataFrame([(text,)], "text string").select(F.lit(0).alias("query_id"), self.pipeline.tokens(F.col("text")).alias("tokens"))
         bags = one.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("cnt"))
-        scores = weighting.rank(bags, self.postings, self.term_stats.select("token", "df"), self.docs.select(F.count("*").alias("n")))
+        scores = weighting.rank(bags, self.kept_postings, self.term_stats.select("token", "df"), self.docs.select(F.count("*").alias("n")))
         all_docs = self.docs.select(F.col(self.doc_id).alias("doc_id"))
         return all_docs.join(scores.drop("query_id"), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
 
@@ -107,17 +121,24 @@ def prune(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def encode(tokens: DataFrame, vocabulary: DataFrame, oov: str = "drop") -> DataFrame:
-    """(doc_id, pos, term_id) of (doc_id, pos, token); unknown tokens are dropped, null or an error."""
+    """(doc_id, pos, term_id) of (doc_id, pos, token); unknown tokens are dropped, null or an error.
+
+    A document's places of one token cross the shuffle as one row, so a token that
+    is everywhere costs as many rows as documents have it, not as often as it comes.
+    """
     how = "inner" if oov == "drop" else "left"
-    out = tokens.join(vocabulary.select("token", "term_id"), "token", how).select("doc_id", "pos", "term_id")
+    places = tokens.groupBy("doc_id", "token").agg(F.collect_list("pos").alias("places"))
+    out = places.join(vocabulary.select("token", "term_id"), "token", how).select("doc_id", F.explode("places").alias("pos"), "term_id")
     if oov == "error":
         out = out.withColumn("term_id", F.coalesce("term_id", F.raise_error(F.lit("token is not in the vocabulary")).cast("long")))
     return out
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame, filter_missing: bool = False) -> DataFrame:
-    """(doc_id, pos, token) of (doc_id, pos, term_id)."""
-    return ids.join(vocabulary.select("term_id", "token"), "term_id", "inner" if filter_missing else "left").select("doc_id", "pos", "token")
+    """(doc_id, pos, token) of (doc_id, pos, term_id); a document's places of one id cross the shuffle as one row."""
+    places = ids.groupBy("doc_id", "term_id").agg(F.collect_list("pos").alias("places"))
+    out = places.join(vocabulary.select("term_id", "token"), "term_id", "inner" if filter_missing else "left")
+    return out.select("doc_id", F.explode("places").alias("pos"), "token")
 
 
 def sequences(tokens: DataFrame, value: str = "token") -> DataFrame:

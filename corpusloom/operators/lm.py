@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from .ngrams import windows
 
 
-
 def ngram_counts(token_lists: DataFrame, depth: int, tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
     """(by.., n, context, token, total): nodes of the trie of all ``depth``-grams.
 
@@ -35,11 +35,16 @@ def ngram_counts(token_lists: DataFrame, depth: int, tokens: str = "tokens", by:
 def all_ngrams(token_lists: DataFrame, depth: int, tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
     """(by.., n, context, token, total): every n-gram of 1 to ``depth`` tokens where it stands, so the ends of documents count too."""
     by = by or []
-    parts = [token_lists.select(*by, F.explode(windows(F.col(tokens), n)).alias("g")) for n in range(1, depth + 1)]
-    counts = reduce(DataFrame.union, parts).groupBy(*by, "g").agg(F.count("*").alias("total"))
+    grams = F.concat(*[windows(F.col(tokens), n) for n in range(1, depth + 1)])
+    counts = token_lists.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("total"))
     return counts.select(*by, F.size("g").alias("n"), F.slice("g", 1, F.size("g") - 1).alias("context"), F.element_at("g", -1).alias("token"), "total")
 
 
+def train(token_lists: DataFrame, depth: int, tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
+    """The table of `all_ngrams`, written to the shared folder: estimates read it several times, the texts once."""
+    return written(all_ngrams(token_lists, depth, tokens, by), "ngrams")
+
+
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = ["n", "context", "token"]
     return a.select(*keys, "total").unionByName(b.select(*keys, "total")).groupBy(*keys).agg(F.sum("total").alias("total"))
@@ -84,6 +89,14 @@ def _counted(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return grams.join(c, ["context", "token"], "left").join(totals, "context", "left").select(*grams.columns, F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("ct", F.lit(0)).alias("ct"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
 
 
+def node(counts: DataFrame, *gram: str) -> DataFrame:
+    """(n, context, token, total, distinct_next, total_next) of one n-gram, no row if it was never seen: its count, and what stands below it."""
+    context = F.array(*[F.lit(t) for t in gram]).cast("array<string>")
+    own = counts.where((F.col("n") == len(gram)) & (F.col("context") == F.slice(context, 1, len(gram) - 1) if len(gram) > 1 else F.size("context") == 0) & (F.col("token") == gram[-1]))
+    below = counts.where((F.col("n") == len(gram) + 1) & (F.col("context") == context)).agg(F.count("*").alias("distinct_next"), F.coalesce(F.sum("total"), F.lit(0)).alias("total_next"))
+    return own.select("n", "context", "token", "total").crossJoin(below)  # one row each
+
+
 def vocabulary_size(counts: DataFrame) -> DataFrame:
     return counts.where("n = 1").agg(F.count("*").alias("v"))
 
@@ -137,8 +150,8 @@ def absolute_discount(grams: DataFrame, counts: DataFrame, delta: float = 0.1, n
     return _folded(x.withColumn("own", own.cast("double")).withColumn("back", back.cast("double")).withColumn("base", 1.0 / (F.col("v") + new_tokens)))
 
 
-def kneser_ney(grams: DataFrame, counts: DataFrame, delta: float = 0.75) -> DataFrame:
-    """(context, token, p): interpolated Kneser-Ney with one discount; orders below an n-gram's own use continuation counts."""
+def kneser_ney(grams: DataFrame, counts: DataFrame, delta: float = 0.75, new_tokens: int = 0) -> DataFrame:
+    """(context, token, p): interpolated Kneser-Ney with one discount; orders below an n-gram's own use continuation counts, and below those stands 1 / (V + new_tokens)."""
     longer = counts.where("n > 1").select(F.expr("slice(concat(context, array(token)), 2, n - 1)").alias("g"))
     cont = longer.groupBy("g").agg(F.count("*").alias("total")).select(F.size("g").alias("n"), F.expr("slice(g, 1, size(g) - 1)").alias("context"), F.element_at("g", -1).alias("token"), "total")
     chain = _chain(grams)
@@ -153,7 +166,7 @@ def kneser_ney(grams: DataFrame, counts: DataFrame, delta: float = 0.75) -> Data
     n = F.when(F.col("ct") > 0, F.col("ct"))
     mine = F.coalesce(F.greatest(F.col("c") - delta, F.lit(0.0)) / n, F.lit(0.0))
     back = F.coalesce(delta * F.col("kinds") / n, F.lit(1.0))
-    return _folded(x.withColumn("own", mine.cast("double")).withColumn("back", back.cast("double")).withColumn("base", 1.0 / F.col("v")))
+    return _folded(x.withColumn("own", mine.cast("double")).withColumn("back", back.cast("double")).withColumn("base", 1.0 / (F.col("v") + new_tokens)))
 
 
 SMOOTHING = {"additive": additive, "laplace": lambda g, c, **k: additive(g, c, delta=k.pop("delta", 1.0), **k), "linear interpolation": interpolated, "absolute discount": absolute_discount, "kneser ney": kneser_ney}
@@ -177,8 +190,15 @@ def log_prob(token_lists: DataFrame, counts: DataFrame, n: int, smoothing: str =
 
 def top_tokens(contexts: DataFrame, counts: DataFrame, k: int = 10, smoothing: str = "additive", **params) -> DataFrame:
     """(context, rank, token, p): the k likeliest next tokens of each context, over the whole vocabulary; ties by token."""
-    words = counts.where("n = 1").select("token")
-    grams = contexts.select("context").distinct().crossJoin(words)
+    wanted = contexts.select("context").distinct()
+    # What was seen after the context or a suffix of it, and the k words that lead the lowest order: any other word has k before it.
+    # Additive smoothing has no lower order; its unseen words are alike and go by token, and fewer than k of the first 2k were seen where one is needed.
+    tails = wanted.where(F.size("context") > 0).select("context", F.explode(F.transform(F.sequence(F.lit(1), F.size("context")), lambda i: F.slice("context", i, F.size("context")))).alias("tail"))
+    seen = tails.join(counts.select(F.col("context").alias("tail"), "token"), "tail").select("context", "token")
+    words = counts.where("n = 1").select("token", "total")
+    before = counts.where("n = 2").groupBy("token").agg(F.count("*").alias("total"))
+    lead = reduce(DataFrame.union, [words.orderBy(F.desc("total"), "token").limit(k), before.orderBy(F.desc("total"), "token").limit(k), words.orderBy("token").limit(2 * k)])
+    grams = seen.union(wanted.crossJoin(F.broadcast(lead.select("token")))).distinct()
     p = SMOOTHING[smoothing](grams, counts, **params)
     w = Window.partitionBy("context").orderBy(F.desc("p"), "token")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("context", "rank", "token", "p")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import NgramSpec
 
+BROADCAST_ROWS = 500_000
+
 
 def windows(tokens: Column, n: int, start: str | None = None, end: str | None = None, head: bool = False) -> Column:
     """Array of the contiguous n-windows, as arrays; none if there are fewer than n tokens.
@@ -83,6 +85,8 @@ def join_collocations(tokens: DataFrame, bigrams: DataFrame, joiner: str = "_")
     w = Window.partitionBy("doc_id").orderBy("pos")
     t = tokens.select("doc_id", "pos", "token", F.lag("token").over(w).alias("before"))
     b = bigrams.select(F.col("first").alias("b1"), F.col("second").alias("b2"), F.lit(1).alias("hit")).distinct()
+    if b.count() <= BROADCAST_ROWS:  # else tokens as common as "the" meet their pairs by a shuffle
+        b = F.broadcast(b)
     t = t.join(b, (F.col("before") == F.col("b1")) & (F.col("token") == F.col("b2")), "left")
     t = t.withColumn("part", F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = t.groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("ts"))

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import lm, models, stats, text  # noqa: F401
+    from . import lm, models, sources, stats, text  # noqa: F401

@@ -88,7 +88,7 @@ def _grams(spark, sf):
 def _smoothed(name, f, expr):
     @query(name, _C + _G + f"select context, token, round({expr}, 6) as p from gc, vv")
     def run(spark, sf):
-        p = f(_grams(spark, sf), lm.all_ngrams(_lists(spark, sf), 2))
+        p = f(_grams(spark, sf), lm.train(_lists(spark, sf), 2))
         return _text(p).withColumn("p", six("p")).select("context", "token", "p")
 
 
@@ -105,7 +105,7 @@ _smoothed("lm_absdisc", lambda g, c: lm.absolute_discount(g, c, 0.1), f"case whe
 x as (select gc.context, gc.token, c, ct, kinds, greatest(coalesce(k.k, 0) - 0.75, 0) / kt + 0.75 * kk / kt / v as low from gc left join k on k.token = gc.token, kt, vv)
 select context, token, round(case when ct > 0 then greatest(c - 0.75, 0) / nullif(ct, 0) + 0.75 * kinds / nullif(ct, 0) * low else low end, 6) as p from x""")
 def lm_kn(spark, sf):
-    p = lm.kneser_ney(_grams(spark, sf), lm.all_ngrams(_lists(spark, sf), 2))
+    p = lm.kneser_ney(_grams(spark, sf), lm.train(_lists(spark, sf), 2))
     return _text(p).withColumn("p", six("p")).select("context", "token", "p")
 
 
@@ -116,13 +116,13 @@ from eb left join u on u.token = eb.token left join bi on bi.context = eb.before
 
 @query("lm_logp", _C + _G + _P + "select item_id, n_tokens, round(logp, 6) as logp from lp")
 def lm_logp(spark, sf):
-    x = lm.log_prob(_items(spark, sf), lm.all_ngrams(_lists(spark, sf), 2), 2, "additive", "item_id", delta=0.1)
+    x = lm.log_prob(_items(spark, sf), lm.train(_lists(spark, sf), 2), 2, "additive", "item_id", delta=0.1)
     return x.select("item_id", "n_tokens", six("logp").alias("logp"))
 
 
 @query("lm_perplexity", _C + _G + _P + "select item_id, round(exp(-logp / n_tokens), 4) as perplexity from lp")
 def lm_perplexity(spark, sf):
-    x = lm.log_prob(_items(spark, sf), lm.all_ngrams(_lists(spark, sf), 2), 2, "additive", "item_id", delta=0.1)
+    x = lm.log_prob(_items(spark, sf), lm.train(_lists(spark, sf), 2), 2, "additive", "item_id", delta=0.1)
     return x.select("item_id", F.round("perplexity", 4).alias("perplexity"))
 
 
@@ -130,7 +130,7 @@ def lm_perplexity(spark, sf):
 (select w.context, u.token, (coalesce(bi.total, 0) + 0.1) / (bt.ct + v * 0.1) as p from (values ('the'), ('of'), ('de')) w(context) cross join u join bt on bt.context = w.context left join bi on bi.context = w.context and bi.token = u.token, vv)) where rank <= 10""")
 def lm_top_tokens(spark, sf):
     contexts = spark.createDataFrame([(["the"],), (["of"],), (["de"],)], "context array<string>")
-    x = lm.top_tokens(contexts, lm.all_ngrams(_lists(spark, sf), 2), 10, "additive", delta=0.1)
+    x = lm.top_tokens(contexts, lm.train(_lists(spark, sf), 2), 10, "additive", delta=0.1)
     return _text(x).select("context", "rank", "token", six("p").alias("p"))
 
 
@@ -140,6 +140,20 @@ def lm_cumulative(spark, sf):
     return _text(x).select("context", "token", six("low").alias("low"), six("high").alias("high"))
 
 
+@query("lm_top_interpolated", _C + """, w as (select context from (values ('the'), ('of'), ('de')) w(context)),
+x as (select w.context, u.token, case when ct > 0 then 0.9 * coalesce(bi.total, 0) / ct else 0.9 / v end + 0.1 * (0.9 * u.total / n1 + 0.1 / v) as p from w cross join u left join bt on bt.context = w.context left join bi on bi.context = w.context and bi.token = u.token, vv)
+select context, rank, token, round(p, 6) as p from (select *, cast(row_number() over (partition by context order by p desc, token) as integer) as rank from x) where rank <= 10""")
+def lm_top_interpolated(spark, sf):
+    contexts = spark.createDataFrame([(["the"],), (["of"],), (["de"],)], "context array<string>")
+    x = lm.top_tokens(contexts, lm.train(_lists(spark, sf), 2), 10, "linear interpolation", lam=0.1, proper=True)
+    return _text(x).select("context", "rank", "token", six("p").alias("p"))
+
+
+@query("lm_node", _C + "select 2 as n, 'the' as context, token, total, (select count(*) from (select 1 from (select token, before, lag(before) over (partition by doc_id order by pos) as b2 from b) where b2 = 'the' and before = 'of' group by token)) as distinct_next, (select count(*) from (select token, before, lag(before) over (partition by doc_id order by pos) as b2 from b) where b2 = 'the' and before = 'of') as total_next from bi where context = 'the' and token = 'of'")
+def lm_node(spark, sf):
+    return _text(lm.node(lm.train(_lists(spark, sf), 3), "the", "of"))
+
+
 @query("lm_generate")
 def lm_generate(spark, sf):
     return lm.generate(lm.all_ngrams(_lists(spark, sf), 2), 2, 20, 15, seed=1).select("text_id", F.array_join("tokens", " ").alias("text"))

@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.vectors import unit
 from ..operators import classify, cluster, evaluate
 from ..operators import timeseries as ts
+from ..checkpoints import written
+from ..operators.corpus import reduce_ids
 from ..operators.topics import TopicModel
 from ..plans import Pipeline
 from . import query
 from .common import PLAIN, corpus, ctes, six, table, tokens_sql
 
 
-def _labelled(spark, sf, held_out: bool):
-    """Postings and labels; every fifth labelled document is held out."""
-    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("cls"))
-    mine = labels.where((F.pmod("doc_id", F.lit(5)) == 0) if held_out else (F.pmod("doc_id", F.lit(5)) != 0))
-    return corpus(spark, sf).postings.join(mine.select("doc_id"), "doc_id", "left_semi"), mine
+#: Searches take every document whose id is divisible by this as a query, against all documents.
+_EVERY = 50
+
 
+def _queries_and_all(spark, sf):
+    p = corpus(spark, sf).kept_postings
+    return p.where(F.pmod("doc_id", F.lit(_EVERY)) == 0), p
 
-_KNN = ctes() + """, tr as (select p.* from p join labels using (doc_id) where doc_id % 5 <> 0), te as (select p.* from p join labels using (doc_id) where doc_id % 5 = 0),
+
+def _knn_sql(train: str) -> str:
+    return ctes() + f""", tr as (select p.* from p {train}), te as (select p.* from p where doc_id % {_EVERY} = 0),
 f as (select token, count(*) as df from tr group by token), nn as (select count(distinct doc_id) as n from tr),
 x as (select doc_id, token, ln(cnt + 1) * (1 + ln((select n from nn) / df)) as w from tr join f using (token)), xs as (select doc_id, token, w / sqrt(sum(w * w) over (partition by doc_id)) as w from x),
 y as (select doc_id, token, ln(cnt + 1) * (1 + ln((select n from nn) / df)) as w from te join f using (token)), ys as (select doc_id, token, w / sqrt(sum(w * w) over (partition by doc_id)) as w from y)
 """
+
+
 _PLANES = 3
 
 
@@ -36,46 +43,46 @@ def _bucket(name: str) -> str:
 
 def _near(buckets: bool) -> str:
     where = f"join {_bucket('ys')} yb on yb.doc_id = ys.doc_id join {_bucket('xs')} xb on xb.doc_id = xs.doc_id and xb.bucket = yb.bucket" if buckets else ""
-    return f""", s as (select ys.doc_id as query_id, xs.doc_id as neighbour, sum(xs.w * ys.w) as score from ys join xs on xs.token = ys.token {where} group by all),
+    return f""", s as (select ys.doc_id as query_id, xs.doc_id as neighbour, sum(xs.w * ys.w) as score from ys join xs on xs.token = ys.token {where} where xs.doc_id <> ys.doc_id group by all),
 k as (select *, cast(row_number() over (partition by query_id order by round(score, 9) desc, neighbour) as integer) as rank from s qualify rank <= 5)
 """
 
 
 def _neighbours(name, planes):
-    @query(name, _KNN + _near(planes > 0) + "select query_id, neighbour, round(score, 6) as score, rank from k")
+    @query(name, _knn_sql("") + _near(planes > 0) + "select query_id, neighbour, round(score, 6) as score, rank from k")
     def run(spark, sf):
-        knn = classify.NearestNeighbours(*_labelled(spark, sf, False), k=5, planes=planes)
-        return knn.query(_labelled(spark, sf, True)[0]).select("query_id", "neighbour", six("score").alias("score"), "rank")
+        queries, all_ = _queries_and_all(spark, sf)
+        return classify.NearestNeighbours(all_, None, k=5, planes=planes).query(queries).select("query_id", "neighbour", six("score").alias("score"), "rank")
 
 
 _neighbours("knn_exact", 0)
 _neighbours("knn_lsh", _PLANES)
 
 
-@query("knn_classify", _KNN + _near(False) + """, v as (select query_id, quality as cls, count(*) as v from k join labels on labels.doc_id = k.neighbour group by all),
-b as (select query_id, cls, v / sum(v) over (partition by query_id) as c, row_number() over (partition by query_id order by v desc, cls) as r from v)
-select q.query_id, b.cls, round(b.c, 6) as confidence from (select distinct doc_id as query_id from te) q left join b on b.query_id = q.query_id and r = 1""".replace(", v as (select query_id", ", vo as (select query_id").replace("from v)", "from vo)"))
+@query("knn_classify", _knn_sql("join labels using (doc_id)") + _near(False) + """, vo as (select query_id, quality as cls, count(*) as v from k join labels on labels.doc_id = k.neighbour group by all),
+b as (select query_id, cls, v / sum(v) over (partition by query_id) as c, row_number() over (partition by query_id order by v desc, cls) as r from vo)
+select q.query_id, b.cls, round(b.c, 6) as confidence from (select distinct doc_id as query_id from te) q left join b on b.query_id = q.query_id and r = 1""")
 def knn_classify(spark, sf):
-    knn = classify.NearestNeighbours(*_labelled(spark, sf, False), k=5)
-    return knn.classify(_labelled(spark, sf, True)[0]).withColumn("confidence", six("confidence"))
+    queries, all_ = _queries_and_all(spark, sf)
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("cls"))
+    return classify.NearestNeighbours(all_, labels, k=5).classify(queries).withColumn("confidence", six("confidence"))
 
 
-_BAYES = ctes() + """, l as (select t.doc_id, pos, token, lag(token) over (partition by t.doc_id order by pos) as before, quality as cls from t join labels using (doc_id)),
-tr as (select * from l where doc_id % 5 <> 0), te as (select * from l where doc_id % 5 = 0),
+#: Trained on all labelled documents; all documents are classified.
+_BAYES = ctes() + """, te as (select doc_id, pos, token, lag(token) over (partition by doc_id order by pos) as before from t), tr as (select te.*, quality as cls from te join labels using (doc_id)),
 u as (select cls, token, count(*) as c from tr group by all), ut as (select cls, sum(c) as ct, count(*) as v from u group by cls),
 bi as (select cls, before, token, count(*) as c from tr where before is not null group by all), bt as (select cls, before, sum(c) as ct from bi group by all),
-pr as (select quality as cls, ln(count(*) / (select count(*) from labels join documents using (doc_id) where doc_id % 5 <> 0)) as lp from labels join documents using (doc_id) where doc_id % 5 <> 0 group by quality),
+pr as (select quality as cls, ln(count(*) / (select count(*) from labels join documents using (doc_id))) as lp from labels join documents using (doc_id) group by quality),
 sc as (select te.doc_id, ut.cls, sum(ln(case when te.before is null then (coalesce(u.c, 0) + 0.1) / (ut.ct + ut.v * 0.1) else (coalesce(bi.c, 0) + 0.1) / (coalesce(bt.ct, 0) + ut.v * 0.1) end)) as s
  from te cross join ut left join u on u.cls = ut.cls and u.token = te.token left join bi on bi.cls = ut.cls and bi.before = te.before and bi.token = te.token left join bt on bt.cls = ut.cls and bt.before = te.before group by all)
 """
 
 
 def _bayes(spark, sf):
-    toks = corpus(spark, sf).token_lists.select("doc_id", "tokens")
+    toks = corpus(spark, sf).kept_lists.select("doc_id", "tokens")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("cls"))
-    counts, priors = classify.train_bayes(toks, labels.where(F.pmod("doc_id", F.lit(5)) != 0), 2)
-    test = toks.join(labels.where(F.pmod("doc_id", F.lit(5)) == 0).select("doc_id"), "doc_id", "left_semi")
-    return classify.bayes_scores(test, counts, priors, 2, 0.1)
+    counts, priors = classify.train_bayes(toks, labels, 2)
+    return classify.bayes_scores(toks, counts, priors, 2, 0.1)
 
 
 @query("bayes_ngram", _BAYES + "select doc_id, cls, round(s + lp, 4) as logp from sc join pr using (cls)")
@@ -98,20 +105,33 @@ def kmeans_assign(spark, sf):
 @query("spherical_kmeans")
 def spherical_kmeans(spark, sf):
     e = table(spark, sf, "embeddings")
-    fitted = cluster.fit(e, 8, how="plusplus", max_rounds=8, seed=3)
+    fitted = cluster.fit(e, 8, how="plusplus", seed=3)
     v = e.select("vec_id", unit(F.col("embedding")).alias("v"))
     return cluster.assign(v, fitted.centroids).select("vec_id", "cluster", six("cosine").alias("cosine"))
 
 
+def _topics(spark, sf):
+    """A model of five topics over all terms, and the postings by id."""
+    c = corpus(spark, sf)
+    terms = written(reduce_ids(c.vocabulary).select("term_id", "token"), "vocabulary")
+    p = written(c.kept_postings.join(terms, "token").select("doc_id", "term_id", "cnt"), "ids")
+    return TopicModel(5).fit(p, terms), p
+
+
 @query("lda_topics")
 def lda_topics(spark, sf):
-    c = corpus(spark, sf)
-    v = c.vocabulary.where("df > 2")
-    from ..operators.corpus import reduce_ids
+    return _topics(spark, sf)[0].topic_words(10)
+
+
+@query("lda_labels")
+def lda_labels(spark, sf):
+    return _topics(spark, sf)[0].labels(5)
+
 
-    small = reduce_ids(v).select("term_id", "token")
-    p = c.postings.join(small, "token").select("doc_id", "term_id", "cnt")
-    return TopicModel(5).fit(p, small).topic_words(10)
+@query("lda_doc_topics")
+def lda_doc_topics(spark, sf):
+    model, p = _topics(spark, sf)
+    return model.doc_topics(p, p=0.9)
 
 
 def _scores(spark, sf):
@@ -158,9 +178,9 @@ def cv_metrics(spark, sf):
     return _validated(spark, sf).select("classifier", "fold", *[six(c).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
-@query("paired_t", _FOLDS + ", d as (select avg(a.accuracy - b.accuracy) as m, stddev_samp(a.accuracy - b.accuracy) as s, count(*) as n from e a join e b using (fold) where a.classifier = 'half' and b.classifier = 'most') select case when m >= 0 then 'half' else 'most' end as better, case when m >= 0 then 'most' else 'half' end as worse, round(abs(m / (s / sqrt(n))), 5) as t, n - 1 as dof from d")
+@query("paired_t", _FOLDS + ", d as (select avg(a.accuracy - b.accuracy) as m, stddev_samp(a.accuracy - b.accuracy) as s, count(*) as n from e a join e b using (fold) where a.classifier = 'half' and b.classifier = 'most') select case when m >= 0 then 'half' else 'most' end as better, case when m >= 0 then 'most' else 'half' end as worse, round(abs(m / (s / sqrt(n))), 5) as t, n - 1 as dof, round(1 - sin(atan(abs(m / (s / sqrt(n))) / 2)) * (1 + pow(cos(atan(abs(m / (s / sqrt(n))) / 2)), 2) / 2), 6) as p_value from d")
 def paired_t(spark, sf):
-    return evaluate.paired_t(_validated(spark, sf), "accuracy").select("better", "worse", F.round("t", 5).alias("t"), "dof")
+    return evaluate.paired_t(_validated(spark, sf), "accuracy").select("better", "worse", F.round("t", 5).alias("t"), "dof", six("p_value").alias("p_value"))
 
 
 def _events(spark, sf):

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..checkpoints import fresh_path
 from ..functions import compositional as comp
 from ..functions import infotheory as it
 from ..functions import vectors as vec
@@ -106,8 +105,9 @@ def doc_sequences(spark, sf):
 @query("remove_terms", ctes() + "select p.* from p join v using (token) where df > 1 and length(token) > 2")
 def remove_terms(spark, sf):
     c = corpus(spark, sf)
+    p = c.kept_postings
     kept = co.drop_terms(c.term_stats, c.term_stats.where("df <= 1 or length(token) <= 2"))
-    return co.prune(c.postings, kept)
+    return co.prune(p, kept)
 
 
 def _terms(name, column, sql, **args):
@@ -147,14 +147,14 @@ s as (select query_id, doc_id, round(dot / (wn.norm * qn.norm), 6) as score from
 @query("query_topk", ctes() + _COSINE + "select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from s) where rank <= 10")
 def query_topk(spark, sf):
     c = corpus(spark, sf)
-    s = weighting.rank(_queries(spark, sf), c.postings, c.term_stats.select("token", "df"), c.docs.agg(F.count("*").alias("n")))
+    s = weighting.rank(_queries(spark, sf), c.kept_postings, c.term_stats.select("token", "df"), c.docs.agg(F.count("*").alias("n")))
     return weighting.top_per_query(s.withColumn("score", six("score")), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query("cosine_pairs", ctes() + _COSINE + "select query_id, doc_id, score from s")
 def cosine_pairs(spark, sf):
     c = corpus(spark, sf)
-    s = weighting.rank(_queries(spark, sf), c.postings, c.term_stats.select("token", "df"), c.docs.agg(F.count("*").alias("n")))
+    s = weighting.rank(_queries(spark, sf), c.kept_postings, c.term_stats.select("token", "df"), c.docs.agg(F.count("*").alias("n")))
     return s.select("query_id", "doc_id", six("score").alias("score"))
 
 
@@ -391,10 +391,7 @@ def stream_token_series(spark, sf):
 
 
 def _folder(spark) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 @query("filter_documents", ctes() + "select doc_id from p group by doc_id having count(*) >= 100")

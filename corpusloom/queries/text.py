@@ -88,12 +88,67 @@ def _world(stop: bool) -> str:
     return f"select doc_id, array_to_string({toks}, ' ') as tokens from documents"
 
 
+def _twice(w: str, i: str = "i") -> str:
+    """The word with runs of three or more of a character cut to two."""
+    return f"array_to_string(list_transform(range(1, length({w}) + 1), lambda {i}: case when {i} > 2 and {w}[{i}] = {w}[{i} - 1] and {w}[{i}] = {w}[{i} - 2] then '' else {w}[{i}] end), '')"
+
+
+def _replaced(x: str, *pairs: tuple[str, str]) -> str:
+    for p, r in pairs:
+        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
+    return x
+
+
+_NUM = "[0-9]+(\\.[0-9]*)?"
+
+
+def _news() -> str:
+    x = _replaced("text", ("_", ""), ("[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+", " _email_ "), ("@[A-Za-z0-9_-]+", " _username_ "))
+    x = _squeezed(_squeezed(x, _LETTERS), _LETTERS.upper())
+    x = _replaced(f"lower({x})", ("(^|\\s)(talk|soc|sci|rec|misc|comp|alt)[^\\sA-Aa-z0-9][a-z.-]+", " _group_ "), (_NUM, " _num_ "), ("''*\\s+''*", " "), ("[^A-Za-z_'']", " "))
+    return f"select doc_id, array_to_string(list_filter(string_split_regex({x}, '\\s+'), lambda x: x <> ''), ' ') as tokens from documents"
+
+
+def _world_full(stop: bool) -> str:
+    from ..plans.spec import load_stopwords
+
+    money = "$£¥₠-₾"
+    x = _replaced("lower(text)", ("\\s+[0-9]{4}(''s\\s|\\s+)", " _year_ "), (_NUM, " _num_ "), ("_num_\\s*%", " _percent_ "), (f"([{money}])\\s*_num_", " _\\1_ "), ("''*\\s+''*", " "), (f"[^\\pL\\pN_''{money}]+", " "))
+    toks = f"list_transform(string_split_regex({x}, '\\s+'), lambda w: {_twice('w')})"
+    words = load_stopwords(["english", "spanish", "french", "arabic"], ["_num_", "_percent_"])
+    toks = f"list_filter({toks}, lambda x: x <> ''" + (f" and x not in ({quoted(words)}))" if stop else ")")
+    return f"select doc_id, array_to_string({toks}, ' ') as tokens from documents"
+
+
+#: m: tokens of the middle pipeline as lists, g: their n-grams of one and two, at most half of them stop words, with END after the last.
+_MIDDLE_GRAMS = f"""with m as (select doc_id, case when tokens = '' then [] else string_split(tokens, ' ') end as w from ({_middle(False)})),
+b as (select doc_id, w, list_concat(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]), case when len(w) > 0 then [[w[len(w)], 'END']] else [] end) as pairs from m),
+g as (select doc_id, list_concat(list_append(list_filter(w, lambda x: x not in ({quoted(ENGLISH)})), 'END'), list_transform(list_filter(pairs, lambda p: len(list_filter(p, lambda x: x in ({quoted(ENGLISH)}))) <= 1), lambda p: array_to_string(p, '_'))) as grams from b)
+"""
 _PIPELINE_SQL = {
-    "intermediate_unigrams": _middle(True), "intermediate_unigrams_no_stopwords": _middle(False), "intermediate_unigrams+bigrams": _middle(False),
+    "intermediate_unigrams": _middle(True), "intermediate_unigrams_no_stopwords": _middle(False), "intermediate_unigrams+bigrams": _MIDDLE_GRAMS + "select doc_id, array_to_string(grams, ' ') as tokens from g",
     "multilingual_unigrams_basic_keep_stopwords": _world(False), "multilingual_unigrams_basic_remove_stopwords": _world(True),
+    "multilingual_unigrams_keep_stopwords": _world_full(False), "multilingual_unigrams_remove_stopwords": _world_full(True),
+    "20_newsgroups": _news(), "no_punctuation_keep_stopwords": _news(),
 }
+
+
+def _shipped(name: str):
+    """The tokens of a shipped pipeline, or its n-grams where it is made for those."""
+    spec = builtin(name)
+    if name != "intermediate_unigrams+bigrams":
+        return _joined(spec, " ")
+
+    def run(spark, sf):
+        p = Pipeline(spec)
+        d = table(spark, sf, "documents").select("doc_id", p.tokens(F.col("text")).alias("w"))  # a column of its own, or each window would tokenise anew
+        return d.select("doc_id", F.array_join(p.ngrams(F.col("w")), " ").alias("tokens"))
+
+    return run
+
+
 for _name in builtin_names():
-    query("pre_pipeline_" + _name.replace("+", "_"), _PIPELINE_SQL.get(_name))(_joined(builtin(_name), " "))
+    query("pre_pipeline_" + _name.replace("+", "_"), _PIPELINE_SQL.get(_name))(_shipped(_name))
 
 
 @query("split_sentences")
@@ -102,7 +157,7 @@ def split_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(toks).alias("pos", "sentence"))
 
 
-@query("pre_pipeline_bigrams_counts")
+@query("pre_pipeline_bigrams_counts", _MIDDLE_GRAMS + "select token, count(*) as cnt from (select unnest(grams) as token from g) group by token")
 def pipeline_bigrams(spark, sf):
     p = Pipeline(builtin("intermediate_unigrams+bigrams"))
     d = table(spark, sf, "documents").select("doc_id", p.tokens(F.col("text")).alias("tokens"))
@@ -226,7 +281,16 @@ _dtm("seq", "select slice + 1 as line, cast(count(*) as varchar) as value from w
 _dtm("dates", "select slice as line, strftime(min(date), '%Y-%m-%d') || ' ' || strftime(max(date), '%Y-%m-%d') as value from w group by slice")
 
 
-@query("codec_roundtrip", "select doc_id, n_chars, true as same from documents")
+def _code_sql(x: str) -> str:
+    """Hexadecimal digits of a number's code: digits of base 127, least first, the first as its negative less one."""
+    parts = [f"printf('%02x', 255 - ({x}) % 127)"]
+    for k in range(1, 6):
+        parts.append(f"case when ({x}) >= {127**k} then printf('%02x', (({x}) // {127**k}) % 127) else '' end")
+    return " || ".join(parts)
+
+
+@query("codec_roundtrip", f"select doc_id, {_code_sql('n_chars')} || {_code_sql('doc_id')} || '{'ff'}' as code, true as same from documents")
 def codec_roundtrip(spark, sf):
-    x = table(spark, sf, "documents").select("doc_id", "n_chars", F.array("n_chars", "doc_id", F.lit(0).cast("long")).alias("a"))
-    return x.withColumn("b", compressed(F.col("a"))).select("doc_id", "n_chars", (decompressed(F.col("b")) == F.col("a")).alias("same"))
+    x = table(spark, sf, "documents").select("doc_id", F.array("n_chars", "doc_id", F.lit(0).cast("long")).alias("a"))
+    x = x.withColumn("b", compressed(F.col("a")))
+    return x.select("doc_id", F.lower(F.hex("b")).alias("code"), (decompressed(F.col("b")) == F.col("a")).alias("same"))

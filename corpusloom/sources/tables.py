@@ -51,8 +51,8 @@ def read_specs(folder: str) -> dict[str, TableSpec]:
     return {p.stem: TableSpec.load(str(p)) for p in sorted(Path(folder).iterdir()) if p.suffix in (".yml", ".yaml", ".json")}
 
 
-def create_table(spark: SparkSession, spec: TableSpec, suffix: str = "", buckets: int = 0) -> None:
-    """Create the table if it isn't there; with ``buckets``, rows are clustered and sorted by key (there are no secondary indexes: sorted files prune by their statistics)."""
+def create_table(spark: SparkSession, spec: TableSpec, suffix: str = "", buckets: int = 0, path: str | None = None) -> None:
+    """Create the table if it isn't there, at ``path`` if given; with ``buckets``, rows are clustered and sorted by key (there are no secondary indexes: sorted files prune by their statistics)."""
     name = spec.name + suffix
     if spark.catalog.tableExists(name):
         have = set(spark.table(name).columns)
@@ -63,12 +63,15 @@ def create_table(spark: SparkSession, spec: TableSpec, suffix: str = "", buckets
     writer = spark.createDataFrame([], spec.schema).write.format("parquet")
     if buckets and spec.keys:
         writer = writer.bucketBy(buckets, *spec.keys).sortBy(*(spec.index or spec.keys))
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(name)
 
 
-def create_all(spark: SparkSession, specs: Iterable[TableSpec]) -> None:
+def create_all(spark: SparkSession, specs: Iterable[TableSpec], path: str | None = None) -> None:
+    """Create the tables, each in a folder of ``path`` if given."""
     for s in specs:
-        create_table(spark, s)
+        create_table(spark, s, path=path and f"{path}/{s.name}")
 
 
 def evolve(df: DataFrame, spec: TableSpec) -> DataFrame:

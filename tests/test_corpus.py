@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,37 @@ def test_norms_are_one(spark, sf):
     assert r[0] == pytest.approx(1) and r[1] == pytest.approx(1)
     s = c.term_stats.agg(F.sum("ttf"), F.sum("df")).first()
     assert s[0] == c.stats.first().total_tokens and s[1] <= s[0]
+
+
+def test_maps_and_search(spark):
+    from corpusloom.operators import lookup
+
+    kv = lambda rows: spark.createDataFrame(rows, "key string, value string")
+    pairs = lambda df: {(r.key, r.value) for r in df.collect()}
+    first, subs = kv([("a", "1"), ("b", "2"), ("c", "3")]), kv([("a", "x"), ("b", "y"), ("c", "y"), ("z", "q")])
+    assert pairs(lookup.substitute_keys(first, subs, check=True)) == {("x", "1"), ("y", "3")}
+    assert pairs(lookup.compose_maps(first, kv([("1", "I"), ("2", "II"), ("3", "III")]), check=True)) == {("a", "I"), ("b", "II"), ("c", "III")}
+    short = kv([("1", "I")])
+    with pytest.raises(ValueError):
+        lookup.compose_maps(first, short, check=True)
+    with pytest.raises(Exception, match="the map has no"):
+        lookup.compose_maps(first, short).collect()
+    rng = random.Random(2)
+    lists = {k: sorted(rng.randint(0, 30) for _ in range(rng.randint(0, 12))) for k in range(6)}
+    asked = [(k, float(x)) for k in range(7) for x in range(-1, 33, 2)] + [(0, 5.0)]
+    rows = [(k, float(v), i) for k, vs in lists.items() for i, v in enumerate(vs)]
+    got = lookup.first_reaching(spark.createDataFrame(rows, "k int, v double, place int"), spark.createDataFrame(asked, "k int, x double"), "v", ["k"], "place").collect()
+    want = [(k, x, next((i for i, v in enumerate(lists.get(k, [])) if v >= x), None)) for k, x in asked]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_a_stream_that_starts_with_one_term(spark, tmp_path):
+    from corpusloom.streaming import incremental
+
+    p, root = Pipeline({"sequence": ["lower", {"op": "split", "args": {"pattern": r"\s+"}}]}), f"file://{tmp_path}"
+    for i, text in enumerate(["one one", "two one", "three two", None]):
+        spark.createDataFrame([(i, text)], "doc_id long, text string").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("doc_id long, text string").parquet(f"{root}/in")
+        incremental.maintain_vocabulary(stream, p, f"{root}/state", f"{root}/checkpoint")
+    got = incremental.Versions(spark, f"{root}/state").latest().collect()
+    assert sorted((r.term_id, r.token) for r in got) == [(0, "one"), (1, "two"), (2, "three")]
