@@ -114,6 +114,8 @@ def load_stopwords(files: list[str] | str | None = None, words: list[str] | None
     out = list(words or [])
     for f in [files] if isinstance(files, str) else files or []:
         p = Path(f) if Path(f).is_absolute() or base is None else Path(base, f)
+        if base is not None and not p.exists() and p.with_suffix(".stop").exists():
+            p = p.with_suffix(".stop")
         if not p.exists() and (STOP_DIR / f"{Path(f).stem}.txt").exists():
             out += stop_list(f)
         elif p.suffix in (".yml", ".yaml", ".json"):
@@ -213,6 +215,6 @@ def builtin_names() -> list[str]:
     return sorted(shipped.PIPELINES)
 
 
-def builtin(name: str) -> PipelineSpec:
-    """A shipped pipeline by its name."""
-    return PipelineSpec.read(shipped.PIPELINES[name])
+def builtin(name: str, stop_dir: str | Path | None = None) -> PipelineSpec:
+    """A shipped pipeline by its name; with ``stop_dir`` its stop lists are read from that folder's files (english.stop and so on) in place of this package's own."""
+    return PipelineSpec.read(shipped.PIPELINES[name], stop_dir)

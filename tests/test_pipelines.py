@@ -138,3 +138,15 @@ def test_translation(spark, p, r, text):
 @pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("running", "run"), ("hopping", "hop"), ("hoping", "hope"), ("relational", "relat"), ("generously", "generous"), ("skies", "sky"), ("national", "nation"), ("happiness", "happi"), ("cries", "cri"), ("ties", "tie"), ("gas", "gas"), ("knightly", "knight"), ("agreed", "agre"), ("vietnamization", "vietnam"), ("conformably", "conform"), ("succeeding", "succeed"), ("yelling", "yell"), ("by", "by"), ("consolation", "consol"), ("knack", "knack")])
 def test_stems(word, want):
     assert stem(word) == want
+
+
+def test_stop_lists_of_a_folder(spark, tmp_path):
+    (tmp_path / "english.stop").write_text("alpha\n beta \n\n", encoding="utf-8")
+    spec = builtin("intermediate_unigrams", tmp_path)
+    assert set(spec.stopwords) == {"alpha", "beta"} and "the" in builtin("intermediate_unigrams").stopwords
+    docs = spark.createDataFrame([("Alpha the beta gamma",)], "text string")
+    assert docs.select(Pipeline(spec).tokens(F.col("text")).alias("t")).first().t == ["the", "gamma"]
+    for k in ("spanish", "french", "arabic"):
+        (tmp_path / f"{k}.stop").write_text(f"{k}\n", encoding="utf-8")
+    words = next(s.args["words"] for s in builtin("multilingual_unigrams_remove_stopwords", tmp_path).steps if s.name == "stopwords")
+    assert set(words) == {"alpha", "beta", "spanish", "french", "arabic", "_num_", "_percent_"}
