@@ -15,8 +15,14 @@ similarity is the weighted Jaccard coefficient, sum of min over sum of max.
    item in the radius.
 4. *Check.*  The similarity of each candidate is computed exactly.
 
-The benchmark goes to the executors in parts of at most ``ITEMS_PER_PASS``
-items, each part a pass over the documents, so that what is broadcast is bounded.
+The benchmark goes to the executors in parts of about ``ITEMS_PER_PASS`` items, each
+part a pass over the documents, so that what the driver holds and broadcasts is
+bounded: a part's index is made, used and given up before the next one.
+
+With radius 20 the 21 blocks have three or four bits, so that a fingerprint shares
+some block with most items, and what the tables save is little; the bound before
+them is what keeps windows away.  A smaller radius would lose windows that are
+similar enough: at a similarity of 0.6 about 15 bits of 64 differ, give or take 3.
 
 Defined cases: null, empty or word-less texts and items match nothing; a
 document shorter than the item is one window; items of fewer than ``n`` words
@@ -36,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .session import ship
+from .session import fresh_path, ship, written
 from .textkit import Words, slices
 
 ITEMS_PER_PASS = 100_000
@@ -193,13 +199,13 @@ def enumerate_values(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(v[a]), order[a:b]
 
 
-def _passes(benchmark: DataFrame, n: int, radius: int) -> list[Index]:
+def _passes(benchmark: DataFrame, n: int, radius: int) -> tuple[int, Iterator[Index]]:
+    """How many parts the benchmark makes, and their indexes, of which the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).where("t is not null")
     parts = max(1, -(-items.count() // ITEMS_PER_PASS))
-    return [
-        Index([(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).toLocalIterator()], n, radius)
-        for p in range(parts)
-    ]
+    # by row, as an id may be null or come more than once
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
+    return parts, (Index([(r.i, r.t) for r in items.where(part == p).toLocalIterator()], n, radius) for p in range(parts))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, radius: int = 20, threshold: float = 0.6) -> DataFrame:
@@ -209,29 +215,44 @@ def find(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, radius: int = 20,
     item = benchmark.schema["item_id"].dataType.simpleString()
     d = docs.select(F.col("doc_id"), F.col("text").alias("t")).where("t is not null")
     doc = d.schema["doc_id"].dataType.simpleString()
-    out = None
-    for index in _passes(benchmark, n, radius):
+    schema = f"doc_id {doc}, item_id {item}, similarity double, distance int, start_word int, n_words int"
+    parts, indexes = _passes(benchmark, n, radius)
+    path = fresh_path(spark, "matches")
+    for index in indexes:
         held = spark.sparkContext.broadcast(index)
+        del index
+        found = d.mapInArrow(_finder(held, threshold), schema)
+        if parts == 1:
+            return found
+        found.write.mode("append").parquet(path)
+        held.destroy()
+    return spark.read.schema(schema).parquet(path)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b in slices(batch.column(1)):
-                    m = held.value.matches(batch.column(1)[a:b], threshold)
-                    if m:
-                        ids = batch.column(0)[a:b].take(pa.array([x[0] for x in m]))
-                        yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": [x[1] for x in m], "similarity": [x[2] for x in m], "distance": pa.array([x[3] for x in m], pa.int32()), "start_word": pa.array([x[4] for x in m], pa.int32()), "n_words": pa.array([x[5] for x in m], pa.int32())})
 
-        part = d.mapInArrow(run, f"doc_id {doc}, item_id {item}, similarity double, distance int, start_word int, n_words int")
-        out = part if out is None else out.union(part)
-    return out
+def _finder(held, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                m = held.value.matches(batch.column(1)[a:b], threshold)
+                if m:
+                    ids = batch.column(0)[a:b].take(pa.array([x[0] for x in m]))
+                    yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": [x[1] for x in m], "similarity": [x[2] for x in m], "distance": pa.array([x[3] for x in m], pa.int32()), "start_word": pa.array([x[4] for x in m], pa.int32()), "n_words": pa.array([x[5] for x in m], pa.int32())})
+
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, radius: int = 20, threshold: float = 0.6) -> DataFrame:
     """The rows, all columns as they are, that hold no benchmark item."""
     spark = docs.sparkSession
     ship(spark)
-    for index in _passes(benchmark, n, radius):
-        docs = docs.where(_verdict(spark.sparkContext.broadcast(index), threshold)(docs["text"]))
+    parts, indexes = _passes(benchmark, n, radius)
+    for index in indexes:
+        held = spark.sparkContext.broadcast(index)
+        del index
+        docs = docs.where(_verdict(held, threshold)(docs["text"]))
+        if parts > 1:
+            docs = written(docs, "clean")
+            held.destroy()
     return docs
 
 

@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one for each shard.
 
 Vectors are dealt by hash to shards of about ``shard_rows``; each shard builds a
-graph of its own.  Every vector then queries every shard, block by block of
-queries.  In each block a sample of queries is compared with the whole shard by
+graph of its own, in a task of its own.  Every vector then queries every shard:
+the graphs are broadcast in waves of ``WAVE``, whose size is bounded by the shards',
+and the vectors are read where they lie, in blocks, once a wave; neither vectors
+nor graphs are copied through a shuffle.  In each block a sample of queries is compared with the whole shard by
 brute force, and extended until ``audit`` of them have a partner besides
 themselves.  While the search finds fewer than ``recall`` of these partners, over
 all pairs or as the mean of the queries, the beam is doubled.  Where partners are
@@ -28,18 +30,23 @@ are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import cut, ship
+from .session import cut, fresh_path, ship, written
 from .textkit import mix
 
 LINKS, LINKS_0, BEAM_BUILD = 12, 24, 64
 #: Points that a scan compares in the time that a search takes for one place of its beam.
 SCAN = 256
+#: Graphs that are broadcast at once: at 32,768 vectors of 64 numbers, 12 MB each.
+WAVE = 8
 
 
 class Graph:
@@ -316,34 +323,68 @@ def near_pairs(vectors: DataFrame, *, threshold: float = 0.95, recall: float = 0
     equal = groups.where(F.size("ids") > 1).select(F.col("id").alias("a"), F.explode("ids").alias("b")).where("a <> b")
     n = groups.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    points = groups.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    points = groups.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    points = written(points.repartition(max(blocks, min(2 * cores, n // 1024 + 1))), "points")
 
     def built(pdf: pd.DataFrame) -> pd.DataFrame:
         graph = build(unit(pdf["v"]).astype(np.float32), pdf["id"].to_numpy(np.int64))
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "blob": [graph.dump()]})
 
-    graphs = cut(points.groupBy("dim", "shard").applyInPandas(built, "dim int, shard long, blob binary"))
-
-    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        graph = Graph.load(right["blob"].iloc[0])
-        left = left.sort_values("id", kind="stable")
-        ids, exact = left["id"].to_numpy(np.int64), unit(left["v"])
-        i, j = partners(graph, exact.astype(np.float32), threshold, recall, audit, beam, ids)
-        a, b = ids[i], graph.ids[j]
-        keep = a != b
-        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-        points = graph.vectors.astype(np.float64)
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
-        ok = np.concatenate([np.einsum("kd,kd->k", exact[i[s : s + 65536]], points[j[s : s + 65536]]) >= threshold - 1e-7 for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]}).drop_duplicates()
-
-    queries = points.select("id", "v", "dim", "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    spread_out = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    keys = ("dim", "shard", "block")
-    pairs = queries.groupBy(*keys).cogroup(spread_out.groupBy(*keys)).applyInPandas(found, "a long, b long")
-    return pairs.union(equal).distinct()
+    # a number of partitions that is asked for isn't merged, so the graphs are built side by side
+    graphs = written(points.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(built, "dim int, shard int, blob binary"), "graphs")
+    names = sorted((r.dim, r.shard) for r in graphs.select("dim", "shard").collect())  # one row for each shard
+    sc, found = vectors.sparkSession.sparkContext, None
+    path = fresh_path(vectors.sparkSession, "pairs")
+    for at in range(0, len(names), WAVE):
+        mine = F.lit(False)
+        for dim, shard in names[at : at + WAVE]:
+            mine = mine | ((F.col("dim") == dim) & (F.col("shard") == shard))
+        held = sc.broadcast([(r.dim, bytes(r.blob)) for r in graphs.where(mine).collect()])
+        dims = sorted({d for d, _ in names[at : at + WAVE]})
+        points.where(F.col("dim").isin(dims)).select("id", "v", "dim").mapInArrow(_searcher(held, threshold, recall, audit, beam, block_rows), "a long, b long").write.mode("append").parquet(path)
+        held.unpersist()
+        found = path
+    if found is None:
+        return equal
+    return vectors.sparkSession.read.schema("a long, b long").parquet(path).union(equal).distinct()
+
+
+def _searcher(held, threshold: float, recall: float, audit: int, beam: int, block_rows: int):
+    def block(ids: np.ndarray, v: pd.Series, dim: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for d, blob in held.value:
+            own = np.flatnonzero(dim == d)
+            own = own[np.argsort(ids[own], kind="stable")]
+            if not len(own):
+                continue
+            graph, q, exact = Graph.load(blob), ids[own], unit(v.iloc[own])
+            i, j = partners(graph, exact.astype(np.float32), threshold, recall, audit, beam, q)
+            a, b = q[i], graph.ids[j]
+            keep = a != b
+            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+            points = graph.vectors.astype(np.float64)
+            points /= np.linalg.norm(points, axis=1, keepdims=True)
+            ok = np.concatenate([np.einsum("kd,kd->k", exact[i[s : s + 65536]], points[j[s : s + 65536]]) >= threshold - 1e-7 for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+            pair = np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= block_rows:
+                yield from _as_block(waiting, block)
+                waiting = []
+        if waiting:
+            yield from _as_block(waiting, block)
+
+    return run
+
+
+def _as_block(batches: list[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(batches)
+    if len(t):
+        yield from block(t["id"].to_numpy(), t["v"].to_pandas(), t["dim"].to_numpy())
 
 
 def deduplicate(vectors: DataFrame, **options) -> DataFrame:

@@ -9,8 +9,11 @@ discounts for each language and order from the counts of counts, and from them
     P(c | h) = max(n(h c) - D(n), 0) / n(h .) + gamma(h) P(c | h without its first)
 
 down to the uniform distribution over the language's characters.  An n-gram is
-one 63-bit number: a language and five symbols of 11 bits.  Code points below
-1984 are their own symbols, others share 63 by hash.
+one 63-bit number: a language and five symbols of 11 bits.  Each language has
+symbols of its own: one for each of the ``PLAIN`` commonest characters of its
+trusted texts, counted over all of them, so every script is told apart; rarer
+characters of alphabets larger than that share 63 by hash.  Languages are worked
+on in groups of ``GROUP``, which is what a number has room for.
 
 The perplexity of a text sums the estimates over all its characters.  A model of
 up to ``MODEL_ROWS`` rows is broadcast as sorted arrays; a larger one is met by
@@ -18,10 +21,13 @@ joins on the n-gram keys of each text (`score_by_join`), with the same results.
 A text is rejected if its perplexity is above the ``quantile`` of the held-out
 trusted texts of its language, by ``slack``; those, one in ``HELD_OUT``, are not
 trained on, as texts that were would look better than they are.  The perplexity of
-a few characters says little, so a text of n characters has ``short`` / n more room.
+a few characters says little, so a text of n characters has ``short`` / n more room,
+and held-out ones count with their perplexity less that room.  A language with fewer
+than ``FEW`` held-out texts takes the quantile over those of all languages.
 
 Defined cases: null and empty texts, and texts of a language (or null) without
-trusted text, have perplexity and threshold null and are kept; a null doc_id is
+trusted text to train on (none, or all of it held out), have perplexity and threshold
+null and are kept; if no trusted text is held out there is no threshold; a null doc_id is
 scored, but cannot be trusted; repeated rows are counted and scored as often as they
 come; rows that repeat an id in the trusted set count once; with no trusted text
 at all nothing is judged; an empty table gives an empty result; other columns are
@@ -36,15 +42,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut, ship
 from .textkit import buffers, mix, slices
 
 ORDER, SYMBOL_BITS = 5, 11
+#: Symbols for single characters; 0 begins a text, and 63 more are shared.
 PLAIN = 1984
-MODEL_ROWS = 6_000_000
+GROUP = 255
+#: Of 28 bytes each while they are brought to the driver, so 112 MB at most.
+MODEL_ROWS = 4_000_000
+FEW = 20
 BROADCAST_ROWS = 2_000_000
 #: Every so-manieth trusted id, by hash, isn't trained on but sets the threshold.
 HELD_OUT = 5
@@ -57,14 +67,21 @@ def mask(k: int) -> int:
     return (1 << (k * SYMBOL_BITS)) - 1
 
 
-def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The key of the n-gram that ends at each character of the lower-cased texts, without its language; characters of each text."""
+def points_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, and how many each text has."""
     raw, offsets = buffers(pc.utf8_lower(texts))
-    lead = (raw & 0xC0) != 0x80
-    before = np.append(0, np.cumsum(lead))
-    counts = np.diff(before[offsets])
-    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    symbol = np.where(points < PLAIN, np.maximum(points, 1), np.uint64(PLAIN) + mix(points) % np.uint64(63)) if (points >= PLAIN).any() else np.maximum(points, 1)
+    before = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+    return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64), np.diff(before[offsets])
+
+
+def keys_of(texts: pa.Array, code: np.ndarray, symbols: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the n-gram that ends at each character of the texts, without its language; characters of each text. ``code``: the texts' languages."""
+    points, counts = points_of(texts)
+    known, number = symbols
+    own = (np.repeat(code.astype(np.uint64), counts) << np.uint64(21)) | points
+    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+    hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+    symbol = np.where(hit, number[at] if len(known) else 0, np.uint64(PLAIN) + mix(points) % np.uint64(63)).astype(np.uint64)
     # four begin symbols before each text
     pad = ORDER - 1
     n, rows = len(symbol), len(counts)
@@ -78,11 +95,29 @@ def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _languages(trusted: DataFrame) -> list[str]:
-    """The languages that have trusted text; the commonest 255."""
-    return sorted(r.lang for r in trusted.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(255).collect())
+    """The languages that have trusted text."""
+    return sorted(r.lang for r in trusted.where("lang is not null").select("lang").distinct().collect())
 
 
-def _counter(langs: list[str]):
+def symbols_of(trusted: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol table: at most ``PLAIN`` - 1 characters of each language, the commonest of all its trusted texts, ties by code point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = pc.index_in(batch.column(0), value_set=pa.array(langs, pa.string())).to_numpy(zero_copy_only=False).astype(np.uint64)
+            for a, b in slices(batch.column(1)):
+                points, counts = points_of(batch.column(1)[a:b])
+                k, n = np.unique((np.repeat(code[a:b], counts) << np.uint64(21)) | points, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["key", "n"])
+
+    rows = trusted.select("lang", F.col("text").alias("t")).where(F.col("lang").isin(langs) & F.col("t").isNotNull())
+    counts = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(F.shiftright("key", 21)).orderBy(F.desc("n"), "key"))
+    top = counts.withColumn("r", rank).where(F.col("r") < PLAIN).select("key", "r").toPandas().sort_values("key")
+    return top["key"].to_numpy().astype(np.uint64), top["r"].to_numpy().astype(np.uint64)
+
+
+def _counter(langs: list[str], symbols: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
 
@@ -93,7 +128,7 @@ def _counter(langs: list[str]):
         for batch in batches:
             code = pc.index_in(batch.column(0), value_set=pa.array(langs, pa.string())).to_numpy(zero_copy_only=False).astype(np.uint64)
             for a, b in slices(batch.column(1)):
-                key, n = keys_of(batch.column(1)[a:b])
+                key, n = keys_of(batch.column(1)[a:b], code[a:b], symbols)
                 k, c = np.unique(key | np.repeat(code[a:b] << np.uint64(_LANG_SHIFT), n), return_counts=True)
                 keys.append(k), counts.append(c)
                 if sum(map(len, keys)) > FLUSH:
@@ -110,10 +145,10 @@ def _counter(langs: list[str]):
     return run
 
 
-def count_ngrams(trusted: DataFrame, langs: list[str]) -> DataFrame:
+def count_ngrams(trusted: DataFrame, langs: list[str], symbols: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, n): how often each n-gram of the highest order comes in the trusted rows (lang, text)."""
     rows = trusted.select("lang", F.col("text").alias("t")).where(F.col("lang").isin(langs) & F.col("t").isNotNull())
-    return rows.mapInArrow(_counter(langs), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_counter(langs, symbols), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _lang(key: Column) -> Column:
@@ -222,7 +257,7 @@ class Tables:
         return out
 
 
-def _scorer(langs: list[str], held):
+def _scorer(langs: list[str], symbols: tuple[np.ndarray, np.ndarray], held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = pc.fill_null(pc.index_in(batch.column(1), value_set=pa.array(langs, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -230,7 +265,7 @@ def _scorer(langs: list[str], held):
                 texts, c = batch.column(2)[a:b], code[a:b]
                 if (c < 0).any():
                     texts = texts.take(pa.array(np.arange(len(c)), mask=c < 0))
-                key, n = keys_of(texts)
+                key, n = keys_of(texts, np.maximum(c, 0), symbols)
                 uniq, back = np.unique(key.astype(np.int64) | (np.repeat(c, n) << _LANG_SHIFT), return_inverse=True)
                 total = np.bincount(np.repeat(np.arange(b - a), n), held.value.log_prob(uniq)[back] if len(uniq) else None, minlength=b - a)
                 ppl = np.exp(-total / np.maximum(n, 1))
@@ -239,15 +274,15 @@ def _scorer(langs: list[str], held):
     return run
 
 
-def score_by_broadcast(docs: DataFrame, model: DataFrame, langs: list[str]) -> DataFrame:
+def score_by_broadcast(docs: DataFrame, model: DataFrame, langs: list[str], symbols: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     t = model.toArrow()
     col = lambda c: t[c].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(Tables(col("k"), col("key"), col("logp").astype(float), col("log_gamma").astype(float)))
     d = docs.select(F.col("doc_id"), F.col("lang"), F.col("text").alias("t"))
-    return d.mapInArrow(_scorer(langs, held), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang string, n_chars_scored long, perplexity double")
+    return d.mapInArrow(_scorer(langs, symbols, held), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang string, n_chars_scored long, perplexity double")
 
 
-def score_by_join(docs: DataFrame, model: DataFrame, langs: list[str]) -> DataFrame:
+def score_by_join(docs: DataFrame, model: DataFrame, langs: list[str], symbols: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """The same by joins on the keys, sharded as any join; no side is broadcast or held in memory."""
     lang_bits = ((1 << 8) - 1) << _LANG_SHIFT
     d = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("lang"), F.col("text").alias("t")))
@@ -256,7 +291,7 @@ def score_by_join(docs: DataFrame, model: DataFrame, langs: list[str]) -> DataFr
         for batch in batches:
             code = pc.index_in(batch.column(1), value_set=pa.array(langs, pa.string())).to_numpy(zero_copy_only=False).astype(np.uint64)
             for a, b in slices(batch.column(2)):
-                key, n = keys_of(batch.column(2)[a:b])
+                key, n = keys_of(batch.column(2)[a:b], code[a:b], symbols)
                 key |= np.repeat(code[a:b] << np.uint64(_LANG_SHIFT), n)
                 rows = np.repeat(np.arange(b - a), n)
                 order = np.lexsort((key, rows))
@@ -294,21 +329,24 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = 0.995
     """
     ship(docs.sparkSession)
     d = docs.select("doc_id", "lang", "text")
-    trusted = _trusted(d, trusted_ids)
-    langs = _languages(trusted.where("text is not null"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    if not langs:
-        return d.selectExpr("doc_id", "lang", "0L as n_chars_scored", "cast(null as double) as perplexity", "cast(null as double) as threshold", "true as keep")
     held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    model = estimate(cut(count_ngrams(trusted.where(~held), langs)))
-    if by_join is None:
-        by_join = model.count() > MODEL_ROWS
-    scored = cut((score_by_join if by_join else score_by_broadcast)(d, model, langs))
-    limits = (
-        _trusted(scored.where(held), trusted_ids).where("perplexity is not null").groupBy(F.col("lang").alias("__lang"))
-        .agg(F.percentile_approx("perplexity", quantile, 100_000).alias("__limit"))
-    )
-    out = scored.join(F.broadcast(limits), scored["lang"] == F.col("__lang"), "left")
-    room = slack + F.lit(float(short)) / F.greatest("n_chars_scored", F.lit(1))
-    out = out.withColumn("threshold", F.when(F.col("perplexity").isNotNull(), F.col("__limit") * room))
+    trained = _trusted(d, trusted_ids).where(~held)
+    langs = _languages(trained.where("text is not null and text <> ''"))
+    unknown = d.where(F.col("lang").isNull() | ~F.col("lang").isin(langs)).selectExpr("doc_id", "lang", "0L as n_chars_scored", "cast(null as double) as perplexity")
+    parts = [unknown]
+    for i in range(0, len(langs), GROUP):
+        group = langs[i : i + GROUP]
+        symbols = symbols_of(trained, group)
+        model = estimate(cut(count_ngrams(trained, group, symbols)))
+        join = model.count() > MODEL_ROWS if by_join is None else by_join
+        parts.append((score_by_join if join else score_by_broadcast)(d.where(F.col("lang").isin(group)), model, group, symbols))
+    scored = cut(reduce(DataFrame.union, parts))
+    room = F.lit(float(short)) / F.greatest("n_chars_scored", F.lit(1))
+    judged = _trusted(scored.where(held), trusted_ids).where("perplexity is not null").withColumn("known", F.col("perplexity") * slack / (slack + room))
+    limit = lambda: F.percentile_approx("known", quantile, 100_000)
+    limits = judged.groupBy(F.col("lang").alias("__lang")).agg(F.when(F.count("*") >= FEW, limit()).alias("__limit"))
+    pooled = judged.agg(limit().alias("__pooled"))  # one row
+    out = scored.join(F.broadcast(limits), scored["lang"] == F.col("__lang"), "left").crossJoin(F.broadcast(pooled))
+    out = out.withColumn("threshold", F.when(F.col("perplexity").isNotNull(), F.coalesce("__limit", "__pooled") * (slack + room)))
     return out.select(F.col("doc_id").cast(kind), "lang", "n_chars_scored", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -2,56 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import cut, fresh_path, shared_dir, written  # noqa: F401
+from ..checkpoints import ship as _ship
+
 BATCH_ROWS = 2000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset, as in tests, one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        folder = sc.getCheckpointDir()
-        if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once a session; they need no copy of the repository.
 
     Arrow batches are kept to ``BATCH_ROWS`` texts, unless the session asks for
     fewer: ten thousand long texts at a time would be held twice, by JVM and worker.
     """
-    sc = spark.sparkContext
     if int(spark.conf.get(_ROWS)) > BATCH_ROWS or int(spark.conf.get(_ROWS)) <= 0:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
-    if getattr(sc, "_corpusloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="corpusloom-py-")) / "corpusloom_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith((".py", ".txt", ".yml", ".json")):
-                    path = Path(folder, name)
-                    z.write(path, Path(root.name) / path.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._corpusloom_shipped = True
+    _ship(spark)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -60,16 +28,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, kept as files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from Parquet files in the shared folder, which take less room than `cut` does for many rows."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

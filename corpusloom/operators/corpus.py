@@ -72,6 +72,22 @@ class Corpus:
         terms = t.groupBy("token").agg(F.min("first").alias("first"), F.sum("cnt").alias("ttf"), F.count("*").alias("df"))
         return dense_ids(terms.select("token", "first", "ttf", "df"), [F.col("first.seq"), F.col("first.pos")])
 
+    @cached_property
+    def ngram_stats(self) -> DataFrame:
+        """(n, token, ttf, df): the pipeline's n-grams by their length, each length with statistics of its own."""
+        d = self.docs.select(F.col(self.doc_id).alias("doc_id"), self.pipeline.tokens(F.col(self.text)).alias("tokens"))
+        each = [F.transform(self.pipeline.ngrams(F.col("tokens"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("token"))) for n in self.pipeline.spec.ngrams.n]
+        p = d.select("doc_id", F.explode(F.concat(*each)).alias("x")).groupBy("doc_id", "x.n", "x.token").agg(F.count("*").alias("cnt"))
+        return p.groupBy("n", "token").agg(F.sum("cnt").alias("ttf"), F.count("*").alias("df"))
+
+    def ids(self) -> DataFrame:
+        """(doc_id) of all documents."""
+        return self.docs.select(F.col(self.doc_id).alias("doc_id"))
+
+    def document(self, *ids) -> DataFrame:
+        """(doc_id, seq, tokens) of the documents with these ids; unknown ids have no row."""
+        return self.token_lists.where(F.col("doc_id").isin(list(ids)))
+
     def encoded(self) -> DataFrame:
         """(doc_id, pos, term_id)"""
         return encode(self.tokens, self.vocabulary)
@@ -88,21 +104,28 @@ class Corpus:
         return all_docs.join(scores.drop("query_id"), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
 
 
-def dense_ids(terms: DataFrame, order: list[Column]) -> DataFrame:
-    """``terms`` with term_id dense from 0 in ``order``.
+def ranked(rows: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
+    """The rows with __rank, from 1 in ``order``, and with ``value`` also __run, its sum up to and with the row.
 
-    Rows are ranked inside range partitions and shifted by the sizes of the
-    partitions before, so no single task sorts the vocabulary.
+    Rows are ranked inside range partitions and shifted by what the partitions
+    before hold, so no single task orders them all; ``order`` must leave no ties.
     """
-    parts = cut(terms.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    parts = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part").orderBy(*order)
-    ranked = parts.withColumn("__rank", F.row_number().over(w))
-    sizes = ranked.groupBy("__part").agg(F.max("__rank").alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
-    out = ranked.join(F.broadcast(shift), F.col("__part") == F.col("__p"))
+    x = parts.withColumn("__rank", F.row_number().over(w).cast("long"))
+    x = x.withColumn("__run", (F.sum(value) if value else F.sum(F.lit(0).cast("long"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = x.groupBy("__part").agg(F.max("__rank").alias("__size"), F.max_by("__run", "__rank").alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    shift = ends.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("__size", "__shift"), ("__sum", "__base"))])
+    out = x.join(F.broadcast(shift), F.col("__part") == F.col("__p"))
+    more = [(F.col("__run") + F.col("__base")).alias("__run")] if value else []
+    return out.select(*rows.columns, (F.col("__rank") + F.col("__shift")).cast("long").alias("__rank"), *more)
+
+
+def dense_ids(terms: DataFrame, order: list[Column]) -> DataFrame:
+    """``terms`` with term_id dense from 0 in ``order``."""
     names = [c for c in terms.columns if c != "first"]
-    return out.select((F.col("__rank") + F.col("__shift") - 1).cast("long").alias("term_id"), *names)
+    return ranked(terms, order).select((F.col("__rank") - 1).alias("term_id"), *names)
 
 
 def reduce_ids(vocabulary: DataFrame) -> DataFrame:

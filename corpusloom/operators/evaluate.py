@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import t_tail
+from .corpus import ranked
 
 
 def pr_curve(rows: DataFrame, order: str = "pos", truth: str = "truth", pred: str = "pred", positive: int = 1) -> DataFrame:
     """(i, threshold, precision, recall): N+1 points of a sweep over rising scores, ties by ``order``.
 
     Point i takes all but the i lowest as positive; point 0 has precision 0 and
-    recall 1, point N precision 1 and recall 0.  Scores are first counted by
-    value, so that only distinct scores pass through one ordered task.
+    recall 1, point N precision 1 and recall 0.  The sweep is ranked and summed
+    inside range partitions, so no one task orders all rows.
     """
-    w = Window.orderBy(pred, order)
-    r = rows.select(order, pred, (F.col(truth) == positive).cast("long").alias("t")).withColumn("i", F.row_number().over(w))
-    below = F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    r = ranked(rows.select(order, pred, (F.col(truth) == positive).cast("long").alias("t")), [F.col(pred), F.col(order)], "t").withColumnRenamed("__rank", "i")
     everything = r.agg(F.sum("t").alias("p"), F.count("*").alias("n"))
-    x = r.withColumn("fn", below).crossJoin(F.broadcast(everything))
+    x = r.withColumn("fn", F.col("__run")).crossJoin(F.broadcast(everything))
     tp = F.col("p") - F.col("fn")
     kept = F.col("n") - F.col("i")
     points = x.select(
@@ -32,9 +31,8 @@ def pr_curve(rows: DataFrame, order: str = "pos", truth: str = "truth", pred: st
 
 def k_folds(keys: DataFrame, key: str, k: int, order: list | None = None, seed: int = 0) -> DataFrame:
     """(key, fold): keys in hash order (or ``order``), cut at round(i N / k) rounded to an integer downwards."""
-    w = Window.orderBy(*(order or [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]))
     n = keys.agg(F.count("*").alias("n"))
-    x = keys.select(key).withColumn("r", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))
+    x = ranked(keys, order or [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]).select(key, (F.col("__rank") - 1).alias("r")).crossJoin(F.broadcast(n))
     bound = lambda i: F.floor(F.round(F.lit(i) * F.col("n") / k, 8)).cast("long")
     fold = F.lit(k - 1)
     for i in range(k - 1, 0, -1):

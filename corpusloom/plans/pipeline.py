@@ -8,7 +8,7 @@ stemming stays in the JVM.  Empty strings are dropped at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -72,10 +72,12 @@ class Pipeline:
         """The rows with a column stage_k of strings after each step."""
         return df.select("*", *[s.array().alias(f"stage_{k}") for k, s in enumerate(self.stages(F.col(text)))])
 
-    def ngrams(self, tokens: Column) -> Column:
+    def ngrams(self, tokens: Column, n: int | None = None) -> Column:
+        """The n-grams of all lengths of the specification, or of one."""
         from ..operators.ngrams import ngrams
 
-        return ngrams(tokens, self.spec.ngrams, self.spec.stopwords)
+        spec = self.spec.ngrams if n is None else replace(self.spec.ngrams, n=(n,))
+        return ngrams(tokens, spec, self.spec.stopwords)
 
     @staticmethod
     def _replace(s: State, a: dict) -> State:

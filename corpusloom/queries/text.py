@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import compressed, decompressed
 from ..operators import ngrams as ng
+from ..operators.corpus import Corpus
 from ..plans import Pipeline, PipelineSpec, builtin, builtin_names
 from ..plans.spec import NgramSpec, Op
 from ..plans.shipped import step
@@ -165,6 +166,13 @@ def pipeline_bigrams(spark, sf):
     return g.groupBy("token").agg(F.count("*").alias("cnt"))
 
 
+@query("corpus_ngram_stats", _MIDDLE_GRAMS.split("\ng as")[0].rstrip(",\n") + f""", x as (select doc_id, 1 as n, unnest(list_append(list_filter(w, lambda x: x not in ({quoted(ENGLISH)})), 'END')) as token from b
+union all select doc_id, 2, unnest(list_transform(list_filter(pairs, lambda p: len(list_filter(p, lambda x: x in ({quoted(ENGLISH)}))) <= 1), lambda p: array_to_string(p, '_'))) from b)
+select n, token, count(*) as ttf, count(distinct doc_id) as df from x group by all""")
+def corpus_ngram_stats(spark, sf):
+    return Corpus(table(spark, sf, "documents"), Pipeline(builtin("intermediate_unigrams+bigrams"))).ngram_stats
+
+
 @query("pre_debug_stages", rf"select item_id, lower(text) as s0, regexp_replace(lower(text), '[^a-z]', ' ', 'g') as s1, array_to_string(string_split_regex(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), '\s+'), '|') as s2 from benchmark")
 def pre_debug_stages(spark, sf):
     x = Pipeline(PLAIN).debug(table(spark, sf, "benchmark"))
