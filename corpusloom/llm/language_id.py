@@ -13,7 +13,9 @@ a text of a million words as cheap a word as a text of ten.
 
 A text is rejected if no language has enough of its words or the posteriors are
 low, if too few of its words' features were seen in training, as in a script or
-language that the model doesn't know, or if too little of it is words at all.
+language that the model doesn't know, or if less than ``min_text`` of it is words.
+That last limit is off unless asked for: a text full of symbols whose words are of
+a known language has been identified, and is not this operator's to judge.
 
 Defined cases: a null, empty or word-less text has lang null, confidence 0, no
 spans, and is rejected; a null or repeated id, and repeated rows, are judged row
@@ -344,13 +346,13 @@ def fit(docs: DataFrame, per_language: int = 150) -> Model:
     return train(training_sample(docs, per_language))
 
 
-def judge(text: Column, model: Model, *, min_share: float = 0.4, min_confidence: float = 0.5, min_coverage: float = 0.5, min_text: float = 0.75, keep: list[str] | None = None, field: str | None = None) -> Column:
+def judge(text: Column, model: Model, *, min_share: float = 0.4, min_confidence: float = 0.5, min_coverage: float = 0.5, min_text: float = 0.0, keep: list[str] | None = None, field: str | None = None) -> Column:
     """A struct of RESULT for a text column, or only its ``field``.
 
     A text is accepted if its most frequent label has ``min_share`` of the words,
     the words' mean posterior is ``min_confidence``, ``min_coverage`` of their
     features were seen in training, words are ``min_text`` of its non-blank
-    bytes, and ``keep`` (None: any) has the language.
+    bytes (0: any), and ``keep`` (None: any) has the language.
     """
     limits = {"min_share": min_share, "min_confidence": min_confidence, "min_coverage": min_coverage, "min_text": min_text, "keep": keep}
     if field == "accepted":
