@@ -34,6 +34,13 @@ def test_vocabulary(small):
     assert order == ["ran", "the", "cat", "sat", "fast", "a", "dog"]
 
 
+def test_ngram_stats_by_length(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b a"), (3, "a"), (4, ""), (5, None)], "doc_id long, text string")
+    got = Corpus(docs, Pipeline({**WORDS, "ngrams": {"n": [1, 2]}})).ngram_stats
+    assert got.columns == ["n", "token", "ttf", "df"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 4, 3), (1, "b", 3, 2), (2, "a b", 2, 1), (2, "b a", 2, 2)]
+
+
 def test_tfidf_and_query(small):
     w = {r.token: r.w for r in small.tfidf().where("doc_id = 1").collect()}
     assert w == pytest.approx({"the": 0.486240, "cat": 0.486240, "sat": 0.726044}, abs=1e-6)
