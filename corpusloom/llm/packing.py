@@ -21,15 +21,16 @@ columns are never read.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from .session import ship
+from .textkit import slices
 from .tokenizer import VOCABULARY, encoding, read_ranks
 
 #: Attention's share: 1 / (6 x model width) of the token-wise cost a token and token of context, at width 4096.
@@ -108,6 +109,13 @@ def pack(docs: DataFrame, capacity: int = 8192, per_group: int = 20_000, vocabul
     """Tokenise and pack the texts: one row for each piece, with its group, sequence and slot."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    count = arrow_udf(lambda t: token_counts(t, held.value), "long")
-    lengths = docs.select(F.col("doc_id"), count(docs["text"]).alias("n_tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], token_counts(batch.column(1)[a:b], held.value)], names=["doc_id", "n_tokens"])
+
+    # not a function of a column: a filter on that is moved below it with a copy of it, which tokenises all again in workers of its own
+    d = docs.select(F.col("doc_id"), F.col("text").alias("txt"))
+    lengths = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long")
     return pack_lengths(lengths, capacity, per_group, linear, quadratic, rows=docs.count())

@@ -57,3 +57,8 @@ def test_token_counts():
     texts = ["Hello world", None, "", "<|endoftext|> é"]
     counts = P.token_counts(pa.array(texts), ranks).to_pylist()
     assert counts == [len(encoding(ranks).encode_ordinary(t or "")) for t in texts] and counts[1:3] == [0, 0]
+
+
+def test_texts_are_tokenised_once(odd):
+    plan = P.pack(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
