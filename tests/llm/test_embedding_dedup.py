@@ -83,3 +83,16 @@ def test_the_audit_is_of_partners_besides_oneself(monkeypatch, first, last, audi
     i, j = H.partners(g, v[:1200], 0.99, 0.98, audit, 32, np.arange(1200))
     got = set(zip(i.tolist(), g.ids[j].tolist()))
     assert sum((first + x, 1200 + x) in got for x in range(k)) >= 0.98 * k
+
+
+def test_the_audit_searches_only_queries_with_partners(monkeypatch):
+    monkeypatch.setattr(H, "SCAN", 1)
+    v = cloud(1200, 16, 6)
+    v[600:640] = v[:40] + 0.001
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    g, calls, plain = H.build(v, np.arange(1200)), [], H.searched
+    monkeypatch.setattr(H, "searched", lambda graph, q, close, beam: calls.append(len(q)) or plain(graph, q, close, beam))
+    i, j = H.partners(g, v, 0.99, 0.98, 16, 32, np.arange(1200))
+    assert 16 <= calls[0] <= 80 and len(calls) == 2
+    got = set(zip(i.tolist(), g.ids[j].tolist()))
+    assert sum((x, 600 + x) in got for x in range(40)) >= 0.98 * 40
