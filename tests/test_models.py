@@ -114,6 +114,14 @@ def test_sources(spark, tmp_path):
     assert [r.doc_id for r in documents.with_ids(spark.createDataFrame([("b",), ("a",)], "t string"), order="t").orderBy("t").collect()] == [0, 1]
 
 
+def test_ids_of_equal_urls(spark):
+    rows = [(p, None if p % 7 == 0 else f"u{p % 5}") for p in range(40)]
+    want = {p: i for i, (p, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0])))}
+    for parts in (1, 5):
+        d = spark.createDataFrame(rows[::-1], "page_id long, url string").repartition(parts)
+        assert {r.page_id: r.id for r in documents.with_ids(d, "id", "url").collect()} == want
+
+
 def test_keyed_tables(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, s string, x double")
     new = spark.createDataFrame([(2, "B", None, 1), (3, "c", 3.0, 2), (2, None, 9.0, 3)], "k int, s string, x double, seq int")
