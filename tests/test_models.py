@@ -162,3 +162,26 @@ def test_streams_equal_batches(spark, tmp_path):
     q = incremental.term_stats(read(), WORDS).writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("live").select("token", "ttf", "df").collect()} == got
+
+
+def test_measures_of_all_pairs(spark, monkeypatch):
+    """Blocks give what the expressions give for each pair, on odd vectors too, and no pair crosses a join."""
+    from corpusloom.functions import vectors as vec
+    from corpusloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "LEAST", 4)
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=5) * 1000]) for i in range(40)]
+    rows += [(40, 0, rows[0][2]), (41, 0, [x + 1e-4 for x in rows[0][2]]), (42, 1, [0.0] * 5), (43, None, [1.0] * 5), (43, 1, [1.0] * 5), (43, 1, [2.0] * 5)]
+    odd = [(50, 0, None), (51, 0, [1.0]), (52, 0, [1.0, None, 0.0, 0.0, 0.0]), (53, 0, []), (54, 2, [2.0] * 5)]
+    e = spark.createDataFrame(rows + odd, "id long, label int, x array<double>")
+    for measure, plain in ((pairs.vmf(2.0), lambda a, b: vec.vmf_kernel(a, b, 2.0)), (pairs.euclidean, vec.euclidean)):
+        a, b = (e.select(F.col("id").alias(n), "label", F.col("x").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+        want = a.join(b, "label").where("a < b").select("a", "b", plain(F.col("x"), F.col("y")).alias("value"))
+        key = lambda df: sorted((r.a, r.b, -1e9 if r.value is None else r.value) for r in df.collect())
+        got, want = key(pairs.measured_pairs(e, measure, plain)), key(want)
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], rtol=0, atol=1e-6)
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["vec_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "(a#" not in plan
