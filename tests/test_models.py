@@ -185,3 +185,12 @@ def test_measures_of_all_pairs(spark, monkeypatch):
 
     plan = __spark_entry__.queries()["vec_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "(a#" not in plan
+
+
+def test_restarts_share_their_passes(spark):
+    e = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.random.default_rng(2).normal(size=(80, 4)))], "vec_id long, embedding array<double>")
+    sc = spark.sparkContext
+    sc.setJobGroup("restarts", "")
+    fit = cluster.fit(e, 4, how="plusplus", restarts=5, max_rounds=8, eps=0.0)
+    sc.setJobGroup("other", "")
+    assert fit.rounds == 8 and len(sc.statusTracker().getJobIdsForGroup("restarts")) < 40  # not some for each round of each restart
