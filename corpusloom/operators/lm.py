@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
-from .ngrams import windows
+from .ngrams import BROADCAST_ROWS, windows
 
 
 def ngram_counts(token_lists: DataFrame, depth: int, tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
@@ -33,10 +33,25 @@ def ngram_counts(token_lists: DataFrame, depth: int, tokens: str = "tokens", by:
 
 
 def all_ngrams(token_lists: DataFrame, depth: int, tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
-    """(by.., n, context, token, total): every n-gram of 1 to ``depth`` tokens where it stands, so the ends of documents count too."""
+    """(by.., n, context, token, total): every n-gram of 1 to ``depth`` tokens where it stands, so the ends of documents count too.
+
+    Each place counts once, with the tokens from it on, and the shorter n-grams are
+    rolled up from these counts.
+    """
     by = by or []
-    grams = F.concat(*[windows(F.col(tokens), n) for n in range(1, depth + 1)])
-    counts = token_lists.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("total"))
+    t = F.col(tokens)
+    # neighbours are zipped, not cut out by a function on each place, which Spark would interpret; so is what is left of the
+    # row, as beside an exploded array the whole of it would be copied for each token
+    left = F.when(F.size(t) > 0, F.sequence(F.size(t), F.lit(1), F.lit(-1))).alias("left")
+    ahead = F.arrays_zip(left, *[F.slice(t, k + 1, F.size(t)).alias(str(k)) for k in range(depth)])
+    at = token_lists.select(*by, F.explode(ahead).alias("__z"))
+    g = F.slice(F.array(*[F.col("__z").getField(str(k)) for k in range(depth)]), 1, F.least(F.col("__z.left"), F.lit(depth)))
+    counts = at.select(*by, g.alias("g")).groupBy(*by, "g").agg(F.count("*").alias("total"))
+    if depth > 1:
+        # asked beside the total, so that it stays above the counts and both parts read one shuffle
+        whole = counts.where(F.col("total") >= F.when(F.size("g") == depth, 0))
+        cut = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("g"), F.lit(depth - 1))), lambda k: F.slice("g", 1, k)))
+        counts = whole.unionByName(counts.select(*by, cut.alias("g"), "total").groupBy(*by, "g").agg(F.sum("total").alias("total")))
     return counts.select(*by, F.size("g").alias("n"), F.slice("g", 1, F.size("g") - 1).alias("context"), F.element_at("g", -1).alias("token"), "total")
 
 
@@ -83,9 +98,16 @@ def _lengths(grams: DataFrame) -> DataFrame:
     return grams.select("context", "token").distinct()
 
 
+def _kept(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts that ``wanted`` asks for, read where they lie, if these are few."""
+    wanted = wanted.select(*keys).distinct()
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return counts.join(F.broadcast(wanted), keys, "left_semi") if few else counts
+
+
 def _counted(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    c = counts.select("context", "token", F.col("total").alias("c"))
-    totals = counts.groupBy("context").agg(F.sum("total").alias("ct"), F.count("*").alias("kinds"))
+    c = _kept(counts, grams, ["context", "token"]).select("context", "token", F.col("total").alias("c"))
+    totals = _kept(counts, grams, ["context"]).groupBy("context").agg(F.sum("total").alias("ct"), F.count("*").alias("kinds"))
     return grams.join(c, ["context", "token"], "left").join(totals, "context", "left").select(*grams.columns, F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("ct", F.lit(0)).alias("ct"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
 
 
@@ -175,9 +197,13 @@ SMOOTHING = {"additive": additive, "laplace": lambda g, c, **k: additive(g, c, d
 def positions(token_lists: DataFrame, n: int, by: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(by, pos, context, token): each token with up to n-1 before it."""
     t = F.col(tokens)
-    at = F.posexplode(t).alias("pos", "token")
-    x = token_lists.select(by, tokens, at)
-    return x.select(by, "pos", F.expr(f"slice({tokens}, greatest(pos - {n - 1}, 0) + 1, least(pos, {n - 1}))").alias("context"), "token")
+    # only what a place needs goes with it: beside an exploded array the whole of it would be copied for each token
+    back = [F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), k), t), 1, F.size(t)) for k in range(n - 1, -1, -1)]
+    x = token_lists.select(by, F.posexplode(F.arrays_zip(*[c.alias(str(k)) for k, c in enumerate(back)])).alias("pos", "__z"))
+    held = F.least(F.col("pos"), F.lit(n - 1))
+    before = F.array(*[F.col("__z").getField(str(k)) for k in range(n - 1)]).cast("array<string>")
+    context = F.slice(before, n - held, held) if n > 1 else before
+    return x.select(by, "pos", context.alias("context"), F.col("__z").getField(str(n - 1)).alias("token"))
 
 
 def log_prob(token_lists: DataFrame, counts: DataFrame, n: int, smoothing: str = "additive", by: str = "doc_id", **params) -> DataFrame:
@@ -194,7 +220,8 @@ def top_tokens(contexts: DataFrame, counts: DataFrame, k: int = 10, smoothing: s
     # What was seen after the context or a suffix of it, and the k words that lead the lowest order: any other word has k before it.
     # Additive smoothing has no lower order; its unseen words are alike and go by token, and fewer than k of the first 2k were seen where one is needed.
     tails = wanted.where(F.size("context") > 0).select("context", F.explode(F.transform(F.sequence(F.lit(1), F.size("context")), lambda i: F.slice("context", i, F.size("context")))).alias("tail"))
-    seen = tails.join(counts.select(F.col("context").alias("tail"), "token"), "tail").select("context", "token")
+    after = _kept(counts, tails.select(F.col("tail").alias("context")), ["context"])
+    seen = tails.join(after.select(F.col("context").alias("tail"), "token"), "tail").select("context", "token")
     words = counts.where("n = 1").select("token", "total")
     before = counts.where("n = 2").groupBy("token").agg(F.count("*").alias("total"))
     lead = reduce(DataFrame.union, [words.orderBy(F.desc("total"), "token").limit(k), before.orderBy(F.desc("total"), "token").limit(k), words.orderBy("token").limit(2 * k)])

@@ -192,3 +192,25 @@ def test_a_stream_that_starts_with_one_term(spark, tmp_path):
         incremental.maintain_vocabulary(stream, p, f"{root}/state", f"{root}/checkpoint")
     got = incremental.Versions(spark, f"{root}/state").latest().collect()
     assert sorted((r.term_id, r.token) for r in got) == [(0, "one"), (1, "two"), (2, "three")]
+
+
+def test_counts_by_place(spark):
+    """Places carry their neighbours, not the whole text, each counts once, and few n-grams are looked up without a shuffle of all counts."""
+    rows = [(1, "a b a b".split()), (2, ["c"]), (3, []), (4, None), (5, "a b".split())]
+    lists = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    for n in (1, 2, 3):
+        want, places = {}, []
+        for d, t in rows:
+            for i, x in enumerate(t or []):
+                places.append((d, i, t[max(0, i - n + 1) : i], x))
+                for k in range(1, n + 1):
+                    if i + k <= len(t):
+                        g = (k, tuple(t[i : i + k - 1]), t[i + k - 1])
+                        want[g] = want.get(g, 0) + 1
+        assert {(r.n, tuple(r.context), r.token): r.total for r in lm.all_ngrams(lists, n).collect()} == want
+        assert sorted(map(tuple, lm.positions(lists, n).collect())) == sorted(places)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("transform(" not in plan(df).split("Generate")[-1] for df in (lm.positions(lists, 2), lm.all_ngrams(lists, 2)))
+    counts = lm.train(lists, 2)
+    p = lm.additive(spark.createDataFrame([(["a"], "b"), (["z"], "b")], "context array<string>, token string"), counts)
+    assert plan(p).count("LeftSemi") == 2 and {tuple(r.context): round(r.p, 6) for r in p.collect()} == {("a",): round(3.1 / 3.3, 6), ("z",): round(0.1 / 0.3, 6)}
