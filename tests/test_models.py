@@ -194,3 +194,27 @@ def test_restarts_share_their_passes(spark):
     fit = cluster.fit(e, 4, how="plusplus", restarts=5, max_rounds=8, eps=0.0)
     sc.setJobGroup("other", "")
     assert fit.rounds == 8 and len(sc.statusTracker().getJobIdsForGroup("restarts")) < 40  # not some for each round of each restart
+
+
+@pytest.mark.parametrize("rows", [1000, 6, 0])
+def test_bayes_scores_by_weight(spark, monkeypatch, rows):
+    """Counts held by all tasks, only the heaviest of them, or none: the same scores, also after unseen words and contexts."""
+    monkeypatch.setattr(classify, "BROADCAST_ROWS", rows)
+    text = {1: "a b a b c a b", 2: "b c b c", 3: "a b z c", 4: "q r", 5: "", 6: "a"}
+    lists = spark.createDataFrame([(d, t.split()) for d, t in text.items()], "doc_id long, tokens array<string>")
+    counts, priors = classify.train_bayes(lists, spark.createDataFrame([(1, "x"), (2, "y"), (3, "y")], "doc_id long, cls string"))
+    got = {(r.doc_id, r.cls): r.logp for r in classify.bayes_scores(lists, counts, priors).collect()}
+    want = {}
+    for cls, docs in (("x", [1]), ("y", [2, 3])):
+        uni, bi, ctx = {}, {}, {}
+        for t in (text[d].split() for d in docs):
+            for i, w in enumerate(t):
+                uni[w] = uni.get(w, 0) + 1
+                if i:
+                    bi[t[i - 1], w] = bi.get((t[i - 1], w), 0) + 1
+                    ctx[t[i - 1]] = ctx.get(t[i - 1], 0) + 1
+        v, n = len(uni) * 0.1, sum(uni.values())
+        for d, t in ((d, t.split()) for d, t in text.items() if t):
+            p = [(bi.get((t[i - 1], w), 0) + 0.1) / (ctx.get(t[i - 1], 0) + v) if i else (uni.get(w, 0) + 0.1) / (n + v) for i, w in enumerate(t)]
+            want[d, cls] = float(np.log(len(docs) / 3) + np.log(p).sum())
+    assert got == pytest.approx(want)
