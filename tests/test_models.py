@@ -218,3 +218,27 @@ def test_bayes_scores_by_weight(spark, monkeypatch, rows):
             p = [(bi.get((t[i - 1], w), 0) + 0.1) / (ctx.get(t[i - 1], 0) + v) if i else (uni.get(w, 0) + 0.1) / (n + v) for i, w in enumerate(t)]
             want[d, cls] = float(np.log(len(docs) / 3) + np.log(p).sum())
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("planes", [0, 2])
+def test_nearest_neighbours_by_blocks(spark, monkeypatch, planes):
+    """Slices, blocks and waves of any size give the neighbours of a whole search, ties by id, and no pair crosses a shuffle."""
+    from corpusloom.operators import nearest
+
+    for name, size in {"WAVE": 60, "BLOCK": 3, "SLICE": 4, "DENSE": 2, "MATCHES": 5}.items():
+        monkeypatch.setattr(nearest, name, size)
+    rng = np.random.default_rng(4)
+    words = {d: {f"w{int(x)}" for x in rng.zipf(1.4, 8) if x < 40} | ({f"own{d}"} if d % 4 else set()) for d in range(40)}
+    words[39] = words[38] = words[37]
+    p = spark.createDataFrame([(d, w, 1) for d, ws in words.items() for w in ws], "doc_id long, token string, cnt long")
+    knn = classify.NearestNeighbours(p, None, k=3, planes=planes)
+    out = knn.query(p.where("doc_id % 3 = 0"))
+    v, bucket = {}, {r.doc_id: r.bucket for r in knn.buckets(knn.train).collect()}
+    for r in knn.train.collect():
+        v.setdefault(r.doc_id, {})[r.token] = r.w
+    want = set()
+    for q in (d for d in v if d % 3 == 0):
+        s = [(-round(sum(x * v[d].get(t, 0) for t, x in v[q].items()), 9), d) for d in v if d != q and bucket[d] == bucket[q] and v[d].keys() & v[q].keys()]
+        want |= {(q, d, i + 1) for i, (_, d) in enumerate(sorted(s)[:3])}
+    assert {(r.query_id, r.neighbour, r["rank"]) for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
