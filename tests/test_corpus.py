@@ -214,3 +214,10 @@ def test_counts_by_place(spark):
     counts = lm.train(lists, 2)
     p = lm.additive(spark.createDataFrame([(["a"], "b"), (["z"], "b")], "context array<string>, token string"), counts)
     assert plan(p).count("LeftSemi") == 2 and {tuple(r.context): round(r.p, 6) for r in p.collect()} == {("a",): round(3.1 / 3.3, 6), ("z",): round(0.1 / 0.3, 6)}
+
+
+def test_language_counts_without_postings(spark, sf):
+    from corpusloom.queries import stats
+
+    plan = stats._by_lang(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan and "Generate" not in plan  # texts are read once, by no document
